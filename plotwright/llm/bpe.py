@@ -13,7 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import extended, session, slices, table
+from .words import WordCache
 
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,12 +31,11 @@ OTHER_CLASSES = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\
 #: The same pattern for Latin-1 texts, where the classes are short lists and the standard library's engine is faster.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-CACHED_WORDS = 300_000
 #: A longer word is merged exactly with its own heap rather than kept in the cache.
 LONG_WORD = 512
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -48,7 +48,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        chars = _byte_chars()
+        chars = byte_chars()
         vocab = model["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         raw = {t: bytes(chars[c] for c in t) for t in vocab if t not in self.special}
@@ -89,11 +89,7 @@ class Codec:
         self.lengths = np.array([len(b) for b in self.table], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        self.cache = WordCache()
 
     # exact merging
 
@@ -283,32 +279,21 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each."""
-        if len(self.known) > CACHED_WORDS:
-            self.clear()
+        cache = self.cache
+        cache.shrink()
         split = [self.pieces(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         every = list(chain.from_iterable(split))
-        used = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        used = cache.find(every)
         missing = np.flatnonzero(used < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(every[i] for i in missing))
+            new = list(dict.fromkeys([every[i] for i in missing]))
             found = self.words([w.encode() if w not in self.special else b"" for w in new])
-            found = [[self.special[w]] if w in self.special else x for w, x in zip(new, found)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-            n = len(self.known)
-            while len(self.at) < n + len(new) + 1:
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            while len(self.ids) < self.filled + len(flat):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self.at[n + 1 : n + len(new) + 1] = self.filled + np.cumsum(sizes)
-            self.filled += len(flat)
-            self.known.update(zip(new, range(n, n + len(new))))
-            used[missing] = np.fromiter((self.known[every[i]] for i in missing), np.int64, len(missing))
-        starts, sizes = self.at[used], self.at[used + 1] - self.at[used]
+            cache.learn(new, [[self.special[w]] if w in self.special else x for w, x in zip(new, found)])
+            used[missing] = cache.find([every[i] for i in missing])
+        cache.use(used)
+        flat, sizes = cache.gather(used)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
         return flat, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
     def decode(self, ids: np.ndarray) -> bytes:

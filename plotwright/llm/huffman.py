@@ -13,23 +13,26 @@ ends; with their checkpoints they decode independently. Code lengths are at most
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import Scratch, session, slices, table
+from .words import WordCache
 
 END = 2
 LIMIT = 20
 BLOCK = 512
 #: Ids of a segment; a longer document makes a longer segment.
 SEGMENT = 1 << 20
-CACHED_WORDS = 300_000
 _HEAD = struct.Struct("<4sIQIII")
 
 
@@ -152,68 +155,50 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+        self.chars = {b: ord(c) for c, b in byte_chars().items()}
         self.lowers = self._plain()
-        self.clear()
+        self.cache = WordCache()
 
     def _plain(self) -> bool:
         """Whether the file behaves as described; if not, texts go to the library whole."""
         one = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        return one("Ab C,\td.\n\x0b\x0c\rE'S") == one("ab") + one("c") + one(",") + one("d") + one(".") + one("e") + one("'s")
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.at, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        return one("Ab C,\td.\n\x0b\x0c\rE'S") == one("ab") + one("c") + one(",") + one("d") + one(".") + one("e") + one("'s") and [self.library_ids([w.encode()])[0] for w in ("the", "\u00fcber\u00ff")] == [one("THE"), one("\u00dcber\u00ff")]
 
     def library_ids(self, words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """Lower-case words of Latin-1 letters are one piece that normalisation leaves alone: the library's model takes them directly."""
+        tokenize, plain, chars = self.library.model.tokenize, self.letters.fullmatch, self.chars
+        text = [w.decode() for w in words]
+        out = [[t.id for t in tokenize(w if w.isascii() else b.decode("latin-1").translate(chars))] if plain(w) else None for w, b in zip(text, words)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.library.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
+            out[i] = x.ids
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        from itertools import chain, repeat
-
         if not self.lowers:
             return [np.array(x, np.int64) for x in self.library_ids(texts)]
-        if len(self.known) > CACHED_WORDS:
-            self.clear()
+        cache = self.cache
+        cache.shrink()
         split = [t.lower().split() if b"<|" not in t else t.split() for t in texts]  # special tokens are found before lowering
         counts = np.fromiter(map(len, split), np.int64, len(split))
         every = list(chain.from_iterable(split))
-        used = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        used = cache.find(every)
         missing = np.flatnonzero(used < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(every[i] for i in missing))
+            new = list(dict.fromkeys([every[i] for i in missing]))
             tails = {w: w[-1:] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-            asked = [*dict.fromkeys([*(w[:-1] if w in tails else w for w in new), *tails.values()])]
-            asked = [w for w in asked if w not in self.known]
-            self._learn(asked, self.library_ids(asked))
-            rest = [w for w in new if w in tails and w not in self.known]
-            self._learn(rest, [[*self._of(w[:-1]), *self._of(tails[w])] for w in rest])
-            used[missing] = np.fromiter((self.known[every[i]] for i in missing), np.int64, len(missing))
-        starts, sizes = self.at[used], self.at[used + 1] - self.at[used]
+            asked = dict.fromkeys([*(w[:-1] if w in tails else w for w in new), *tails.values()])
+            asked = [w for w in asked if w not in cache.known]
+            cache.learn(asked, self.library_ids(asked))
+            rest = [w for w in new if w in tails and w not in cache.known]
+            cache.learn(rest, [cache.one(w[:-1]) + cache.one(tails[w]) for w in rest])
+            used[missing] = cache.find([every[i] for i in missing])
+        cache.use(used)
+        flat, sizes = cache.gather(used)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
         return np.split(flat, ends[np.cumsum(counts)][:-1]) if len(texts) else []
 
-    def _of(self, word: bytes) -> list[int]:
-        i = self.known[word]
-        return self.ids[self.at[i] : self.at[i + 1]].tolist()
-
-    def _learn(self, words: list[bytes], found: list[list[int]]) -> None:
-        from itertools import chain
-
-        if not words:
-            return
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        n = len(self.known)
-        while len(self.at) < n + len(words) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(self.ids) < self.filled + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.at[n + 1 : n + len(words) + 1] = self.filled + np.cumsum(sizes)
-        self.filled += len(flat)
-        self.known.update(zip(words, range(n, n + len(words))))
-
 
 _encoders: dict[str, WordEncoder] = {}
 

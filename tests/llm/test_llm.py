@@ -286,7 +286,7 @@ def test_stored_ids_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(huffman, "SEGMENT", 2000)
-    texts = [*ODD, *[prose(i, 50) + ". It's, 'Re <|endoftext|> a.,b A.'s <|EndOfText|> \u0130\u03a3." for i in range(30)]]
+    texts = [*ODD, "\u00fcber na\u00efve \u00c9cole \u00e9cole, stra\u00dfe. e\u0301t\u00e9 \u00ff\u00f7\u00d7 \u00b5", *[prose(i, 50) + ". It's, 'Re <|endoftext|> a.,b A.'s <|EndOfText|> \u0130\u03a3." for i in range(30)]]
     order = random.Random(1).sample(range(len(texts)), len(texts))
     scratch = Scratch(spark)
     path = scratch.path("store")
