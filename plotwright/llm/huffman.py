@@ -33,6 +33,8 @@ LIMIT = 20
 BLOCK = 512
 #: Ids of a segment; a longer document makes a longer segment.
 SEGMENT = 1 << 20
+#: Ids packed at once.
+PACKED = 1 << 15
 _HEAD = struct.Struct("<4sIQIII")
 
 
@@ -81,6 +83,7 @@ class Coder:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
+        self.short = lengths.astype(np.uint8)
         self.codes = canonical(lengths)
         self.bits = max(1, int(self.lengths.max(initial=1)))
         used = np.flatnonzero(self.lengths)
@@ -91,26 +94,29 @@ class Coder:
         self.table[: len(ids)] = ids << 5 | sizes
 
     def encode(self, docs: list[np.ndarray], block: int = BLOCK) -> bytes:
-        flat = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
-        sizes = self.lengths[flat]
-        if len(flat) and not sizes.all():
-            raise ValueError("an id has no code")
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        total = int(ends[-1]) if len(ends) else 0
-        # each code lies in two 32-bit words at most; codes of a word don't overlap, so their sum is their union
-        word, shift = starts >> 5, 64 - (starts & 31) - sizes
-        value = self.codes[flat] << shift.astype(np.uint64)
-        high, low = (value >> np.uint64(32)), value & np.uint64(0xFFFFFFFF)
-        out = np.zeros((total >> 5) + 4, np.uint64)
-        if len(flat):
-            firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            out[word[firsts]] += np.add.reduceat(high, firsts)
-            out[word[firsts] + 1] += np.add.reduceat(low, firsts)
-        code = out.astype(">u4").tobytes()[: (total + 7) // 8 + 8]
-        points = starts[::block].astype("<u4")
+        flat = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+        total = int(self.short[flat].sum(dtype=np.int64))
         if total >> 32:
             raise ValueError("a segment is too long")
+        out, points, at = np.zeros((total >> 5) + 4, np.uint64), [], 0
+        for i in range(0, len(flat), PACKED):
+            part = flat[i : i + PACKED]
+            sizes = self.short[part]
+            if not sizes.all():
+                raise ValueError("an id has no code")
+            ends = np.cumsum(sizes, dtype=np.int64) + at
+            starts = ends - sizes
+            # a code lies in two 32-bit words at most, and codes don't overlap: those that begin in a word are united
+            value = self.codes[part] << (64 - (starts & 31) - sizes).view(np.uint64)
+            word = starts >> 5
+            firsts = np.flatnonzero(np.diff(word, prepend=-1))
+            value, word = np.bitwise_or.reduceat(value, firsts), word[firsts]
+            out[word] |= value >> np.uint64(32)
+            out[word + 1] |= value & np.uint64(0xFFFFFFFF)
+            points.append(starts[-i % block :: block])
+            at = int(ends[-1])
+        points = np.concatenate([*points, np.zeros(0, np.int64)]).astype("<u4")
+        code = out.astype(">u4").tobytes()[: (total + 7) // 8 + 8]
         head = _HEAD.pack(b"PWH1", len(docs), len(flat), block, len(points), len(code))
         return b"".join([head, np.fromiter(map(len, docs), "<u4", len(docs)).tobytes(), points.tobytes(), code])
 
@@ -168,10 +174,14 @@ class WordEncoder:
     def library_ids(self, words: list[bytes]) -> list[list[int]]:
         """Lower-case words of Latin-1 letters are one piece that normalisation leaves alone: the library's model takes them directly."""
         tokenize, plain, chars = self.library.model.tokenize, self.letters.fullmatch, self.chars
-        text = [w.decode() for w in words]
-        out = [[t.id for t in tokenize(w if w.isascii() else b.decode("latin-1").translate(chars))] if plain(w) else None for w, b in zip(text, words)]
+        out: list[list[int] | None] = []
+        for w in words:
+            if w.isalpha() and w.islower():  # ASCII letters
+                out.append([t.id for t in tokenize(w.decode())])
+            else:
+                out.append([t.id for t in tokenize(w.decode("latin-1").translate(chars))] if plain(w.decode()) else None)
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.library.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
+        for i, x in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
             out[i] = x.ids
         return out
 
