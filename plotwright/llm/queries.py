@@ -35,10 +35,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP10_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
-  where embedding is not null and vec_id is not null and not list_bool_or(list_transform(embedding, x -> x is null or not isfinite(x)))
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where embedding is not null and vec_id is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]))::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
