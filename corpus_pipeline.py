@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotwright.llm import bpe, langid, lines, mixing, simhash
 from plotwright.llm.common import Scratch, table
@@ -15,10 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go from the texts; ``n_chars`` follows the text."""
-    out = lines.dedup_lines(docs).select(*docs.columns)
-    from pyspark.sql import functions as F
-
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    decoded = bpe.decode(bpe.encode(docs))
-    out = decoded.withColumn("round_trip", decoded.decoded.eqNullSafe(decoded.text) | (decoded.text.isNull() & (decoded.decoded == "")))
-    return out.drop("decoded")
+    return bpe.encode_checked(docs)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokens", tokens)]

@@ -362,30 +362,52 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.mapInArrow(run, extended(tokens, "decoded string"))
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows with ``token_ids`` and ``decoded``."""
+_shown: list[str] = []
+
+
+def _ids_digest(ids: np.ndarray) -> str:
+    if len(ids) and ids.max() >= len(_shown):
+        _shown.extend(str(i) for i in range(len(_shown), int(ids.max()) + 1))
+    return hashlib.sha256(",".join(map(_shown.__getitem__, ids.tolist())).encode()).hexdigest()
+
+
+def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each whole text encoded, and its ids decoded, in one pass.
+
+    The same as ``decode(encode(docs))`` with digests in place of ids and text; one worker process for each
+    task holds the vocabulary, where the two frames after each other need two.
+    """
+    session(docs)
+    path = _path(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown: list[str] = []
-        for batch in batches:
-            n, ids, back = [], [], []
-            for x, y in zip(batch.column("token_ids"), texts_of(batch.column("decoded"))):
-                values = x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)
-                if len(values) and values.max() >= len(shown):
-                    shown = [str(i) for i in range(int(values.max()) + 1)]
-                n.append(len(values))
-                ids.append(hashlib.sha256(",".join(map(shown.__getitem__, values.tolist())).encode()).hexdigest())
-                back.append(hashlib.sha256(y).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c = codec(path)
+        for part, found in slices(batches, "text"):
+            flat, counts = c.encode([x.decode() for x in found])
+            ids = np.split(flat, np.cumsum(counts)[:-1])
+            back = [hashlib.sha256(c.decode(x).decode(errors="replace").encode()).hexdigest() for x in ids]
+            cols = [pa.array(counts, pa.int64()), pa.array([_ids_digest(x) for x in ids], pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
 
-    return tokens.select("doc_id", "token_ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``encode(docs)`` with ``round_trip boolean``: whether the ids decode to the text (null counts as empty); columns of the two names are replaced."""
+    session(docs)
+    path, docs = _path(path), docs.drop("token_ids", "round_trip")
+    names = docs.columns
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for part, found in slices(batches, "text"):
+            flat, counts = c.encode([x.decode() for x in found])
+            same = [c.decode(x) == t for x, t in zip(np.split(flat, np.cumsum(counts)[:-1]), found)]
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(flat, counts), pa.array(same, pa.bool_())], names=[*names, "token_ids", "round_trip"])
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return docs.mapInArrow(run, extended(docs, "token_ids array<int>, round_trip boolean"))
 
 
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, encoded and decoded."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"))
-    return digests(decode(encode(docs)).select("doc_id", "token_ids", "decoded"))
+    return round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"))
