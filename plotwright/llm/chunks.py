@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash of a place is the sum of a table's values for the last bytes, each doubled once for every byte
-since; its top bits depend on the last WINDOW bytes only. A chunk ends where these bits are zero, so ends
-shift with the text when something is inserted. Chunks are compared by 128-bit digests over all documents.
+since; its low WINDOW bits depend on the last WINDOW bytes only. A chunk ends where these bits are higher than
+at the SIDE places before and not lower than at the SIDE places after. So an end depends on the bytes around it
+alone, and ends shift with the text when something is inserted. Chunks are compared by 128-bit digests over all documents.
 The first occurrence by (doc_id, position) stays; consecutive later chunks make a repeated passage. What a
 passage shares beyond its first and last whole chunk is at most a chunk's length at each end; the words of
 the whole chunks decide.
@@ -23,33 +24,46 @@ from .common import Scratch, extended, session, slices, table
 SEED = 42
 #: Bytes that a hash depends on; a power of two.
 WINDOW = 16
-#: One place in 2**MASK_BITS ends a chunk.
-MASK_BITS = 5
-LEAST, MOST = 16, 256
-#: Words in a passage's whole chunks from which it counts as repeated.
-MIN_WORDS = 25
+#: A chunk ends at the highest hash of this many bytes to both sides; a chunk has about twice as many.
+SIDE = 28
+MOST = 256
+#: Words in a passage's whole chunks from which it counts as repeated: a passage of over 50 words keeps about 30 of them.
+MIN_WORDS = 20
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
 _CHUNK = 1 << 20
 
 
+def _highest(h: np.ndarray, width: int) -> np.ndarray:
+    """The largest of each ``width`` consecutive values."""
+    by = 1
+    while 2 * by <= width:
+        h = np.maximum(h[:-by], h[by:])
+        by *= 2
+    return np.maximum(h[: len(h) - (width - by)], h[width - by :]) if width > by else h
+
+
 def ends(text: bytes) -> np.ndarray:
-    """Ends of the chunks, the text's own last. Chunks have LEAST to MOST bytes, the last one may have fewer."""
-    raw, found = np.frombuffer(text, np.uint8), []
+    """Ends of the chunks, the text's own last. Chunks have over SIDE and at most MOST bytes; the last one may have fewer."""
+    raw, found, held = np.frombuffer(text, np.uint8), [], WINDOW - 1 + SIDE
     for at in range(0, len(raw), _CHUNK):
-        start = max(0, at - WINDOW + 1)
-        h, by = GEAR[raw[start : at + _CHUNK]], 1
+        start = max(0, at - held)
+        h, by = GEAR[raw[start : at + _CHUNK + SIDE]], 1
         while by < WINDOW:  # sums over 1, 2, 4, ... bytes
             h[by:] = h[by:] + (h[:-by] << np.uint32(by))
             by *= 2
-        # the bits that the last WINDOW bytes decide alone
-        place = np.flatnonzero((h & np.uint32(((1 << MASK_BITS) - 1) << (WINDOW - MASK_BITS))) == 0) + start + 1
-        found.append(place[place > at])
+        h = h[WINDOW - 1 :] & np.uint32((1 << WINDOW) - 1)  # the bits that the last WINDOW bytes decide alone
+        if len(h) <= 2 * SIDE:
+            continue
+        before, after = _highest(h, SIDE), _highest(h, SIDE)
+        middle = h[SIDE : len(h) - SIDE]
+        place = np.flatnonzero((middle > before[: len(middle)]) & (middle >= after[SIDE + 1 : SIDE + 1 + len(middle)])) + start + WINDOW + SIDE
+        found.append(place[(place > at) & (place <= at + _CHUNK)])
     out, last = [], 0
     for e in np.concatenate([*found, [len(raw)]]).astype(np.int64).tolist():
         while e - last > MOST:
             last += MOST
             out.append(last)
-        if e - last >= LEAST or (e == len(raw) and e > last):
+        if e > last:
             out.append(e)
             last = e
     return np.array(out, np.int64)
