@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that Python code works on at once; longer single texts are worked on alone.
@@ -68,6 +69,16 @@ def extended(df: DataFrame, new: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(new).fields])
 
 
+#: Bytes that a side of a join may take to be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int, also: Column | None = None) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its counted rows (and the bytes summed by ``also``) are within BROADCAST_BYTES; beyond that the join shuffles."""
+    n = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(also if also is not None else F.lit(0)), F.lit(0)).alias("m")).first()
+    return F.broadcast(df) if n.n * row_bytes + n.m <= BROADCAST_BYTES else df
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 
 WINDOW = 3
 
@@ -47,7 +47,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text of which all lines go is empty. Rows without doc_id come after all others. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(covered(docs, scratch), "covered").select(F.col("id").alias("__pw_id"), F.col("key").alias("__pw_key"), F.col("positions").alias("__pw_positions"))
+    found = scratch.save(covered(docs, scratch), "covered")
+    # texts are shuffled only where the covered positions are too many to be sent to them
+    found = small(found, 96, 8 * F.size("positions")).select(F.col("id").alias("__pw_id"), F.col("key").alias("__pw_key"), F.col("positions").alias("__pw_positions"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     body = F.col("text").cast("string")
     # the lines become a column below the join, so that no lambda above splits the text again for each of them

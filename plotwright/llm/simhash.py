@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, session, slices, table
+from .common import Scratch, session, slices, small, table
 from .graph import connected_components
 
 SEED = 42
@@ -246,7 +246,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     stays = rooted.groupBy("root").agg(F.min(order).alias("least"))
     judged = rooted.join(stays, "root").select("doc_id", "key", "rows", order.eqNullSafe(F.col("least")).alias("stays"))
     judged = scratch.save(judged, "judged")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("__pw_id"), F.col("key").alias("__pw_key"))
+    gone = small(scratch.save(judged.where("not stays").select("doc_id", "key"), "gone"), 160).select(F.col("doc_id").alias("__pw_id"), F.col("key").alias("__pw_key"))
     kept = docs.withColumn("__pw_text_key", F.md5(text.cast("binary")))
     kept = kept.join(gone, kept.doc_id.eqNullSafe(gone["__pw_id"]) & (kept["__pw_text_key"] == gone["__pw_key"]), "left_anti")
     if judged.where("stays and rows > 1").take(1):
