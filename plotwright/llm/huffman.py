@@ -35,6 +35,8 @@ BLOCK = 512
 SEGMENT = 1 << 20
 #: Ids packed at once.
 PACKED = 1 << 15
+#: Words given to the library as one text.
+JOINED = 200
 _HEAD = struct.Struct("<4sIQIII")
 
 
@@ -155,7 +157,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -163,27 +165,48 @@ class WordEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
         self.chars = {b: ord(c) for c, b in byte_chars().items()}
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.lowers = self._plain()
         self.cache = WordCache()
 
     def _plain(self) -> bool:
         """Whether the file behaves as described; if not, texts go to the library whole."""
+        vocab, mark = self.library.get_vocab(with_added_tokens=False), self.library.model.end_of_word_suffix
+        if not mark or not all(chr(c) + m in vocab for c in self.chars.values() for m in ("", mark)):
+            return False
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         one = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        return one("Ab C,\td.\n\x0b\x0c\rE'S") == one("ab") + one("c") + one(",") + one("d") + one(".") + one("e") + one("'s") and [self.library_ids([w.encode()])[0] for w in ("the", "\u00fcber\u00ff")] == [one("THE"), one("\u00dcber\u00ff")]
-
-    def library_ids(self, words: list[bytes]) -> list[list[int]]:
-        """Lower-case words of Latin-1 letters are one piece that normalisation leaves alone: the library's model takes them directly."""
-        tokenize, plain, chars = self.library.model.tokenize, self.letters.fullmatch, self.chars
-        out: list[list[int] | None] = []
+        flat, sizes = self.plain_ids([self.spelt(w.encode()) for w in ("the", "\u00fcber\u00ff")])
+        return one("Ab C,\td.\n\x0b\x0c\rE'S") == one("ab") + one("c") + one(",") + one("d") + one(".") + one("e") + one("'s") and [flat[: sizes[0]].tolist(), flat[sizes[0] :].tolist()] == [one("THE"), one("\u00dcber\u00ff")]
+
+    def spelt(self, word: bytes) -> str | None:
+        """A lower-case word of Latin-1 letters in the model's characters: one piece, which normalisation leaves alone. None for other words."""
+        if word.isalpha() and word.islower():  # ASCII letters
+            return word.decode()
+        return word.decode("latin-1").translate(self.chars) if self.letters.fullmatch(word.decode()) else None
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of spelt words in a row, and how many each has: only a word's last id bears the mark of a word's end."""
+        joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        found = [np.array(x.ids, np.int32) for x in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([*found, np.zeros(0, np.int32)])
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def library_ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def ask(self, words: list[bytes]) -> None:
+        """Learns words from the library: spelt ones by its model alone."""
+        spelt, other = {}, []
         for w in words:
-            if w.isalpha() and w.islower():  # ASCII letters
-                out.append([t.id for t in tokenize(w.decode())])
+            if t := self.spelt(w):
+                spelt[w] = t
             else:
-                out.append([t.id for t in tokenize(w.decode("latin-1").translate(chars))] if plain(w.decode()) else None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
-            out[i] = x.ids
-        return out
+                other.append(w)
+        self.cache.add(list(spelt), *self.plain_ids(list(spelt.values())))
+        self.cache.learn(other, self.library_ids(other))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.lowers:
@@ -196,13 +219,15 @@ class WordEncoder:
         used = cache.find(every)
         missing = np.flatnonzero(used < 0).tolist()
         if missing:
-            new = list(dict.fromkeys([every[i] for i in missing]))
-            tails = {w: w[-1:] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-            asked = dict.fromkeys([*(w[:-1] if w in tails else w for w in new), *tails.values()])
-            asked = [w for w in asked if w not in cache.known]
-            cache.learn(asked, self.library_ids(asked))
-            rest = [w for w in new if w in tails and w not in cache.known]
-            cache.learn(rest, [cache.one(w[:-1]) + cache.one(tails[w]) for w in rest])
+            new = dict.fromkeys([every[i] for i in missing])
+            tailed = [w for w in new if w.endswith((b".", b",")) and w[-2:-1].isalpha()]
+            for w in tailed:
+                del new[w]
+            parts = [x for w in tailed for x in (w[:-1], w[-1:])]
+            new.update(dict.fromkeys(parts))
+            self.ask([w for w in new if w not in cache.known])
+            flat, sizes = cache.gather(cache.find(parts))
+            cache.add(tailed, flat, sizes.reshape(-1, 2).sum(axis=1))
             used[missing] = cache.find([every[i] for i in missing])
         cache.use(used)
         flat, sizes = cache.gather(used)
