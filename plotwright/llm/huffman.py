@@ -13,6 +13,7 @@ ends; with their checkpoints they decode independently. Code lengths are at most
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -157,6 +158,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task already
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
