@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import curves as C
+from ..operators import masks as K
 from ..operators import matching as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,3 +510,52 @@ def synth_family(spark, sf_dir):
     y = 0.4 * F.sin(0.55 * x) + 0.07 * x + (0.18 + 0.04 * i) * F.sin(0.9 * x + i * 0.7) + 0.06 * F.cos(1.7 * x + i * 0.7 / 2) + i * 0.38
     y = y + F.exp(-F.pow(x - 9.0, F.lit(2)) / 18.0) * (0.25 - 0.04 * i) + 0.12 * F.exp(-F.pow(x - bend, F.lit(2)) / 2.5) * F.sin(2.5 + i)
     return rows.select("curve", "k", r6(x).alias("x"), r6(y).alias("y"))
+
+
+# stand-in: parts as pixels of images 60 wide and high, coloured by their keys
+
+PIXELS = """px as (select p_partkey // 3600 as image_id, p_partkey % 60 as x, p_partkey // 60 % 60 as y, p_partkey * 37 % 256 as r, p_partkey * 101 % 256 as g, p_partkey * 53 % 256 as b from part),
+ lin as (select image_id, x, y, [case when c / 255.0 <= 0.04045 then c / 255.0 / 12.92 else pow((c / 255.0 + 0.055) / 1.055, 2.4) end for c in [r::double, g::double, b::double]] as v from px),
+ xyz as (select image_id, x, y, [(0.412453::double * v[1] + 0.357580::double * v[2] + 0.180423::double * v[3]) / 0.950456::double, 0.212671::double * v[1] + 0.715160::double * v[2] + 0.072169::double * v[3], (0.019334::double * v[1] + 0.119193::double * v[2] + 0.950227::double * v[3]) / 1.088754::double] as t from lin),
+ roots as (select image_id, x, y, t[2] as w, [case when c > 0.008856 then pow(c, 1 / 3::double) else 7.787::double * c + 16 / 116::double end for c in t] as f from xyz),
+ labs as (select image_id, x, y, case when w > 0.008856 then 116 * f[2] - 16 else 903.3::double * w end * 2.55::double as l, 500 * (f[1] - f[2]) + 128 as a, 200 * (f[2] - f[3]) + 128 as b2 from roots)"""
+
+
+def lab_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 3600").alias("image_id"), (k % 60).alias("x"), F.expr("p_partkey div 60 % 60").alias("y"), (k * 37 % 256).alias("r"), (k * 101 % 256).alias("g"), (k * 53 % 256).alias("b"))
+    return K.with_lab(rows)
+
+
+@query(f"with {PIXELS} select image_id, x, y, round(l, 6) as l, round(a, 6) as a, round(b2, 6) as b2 from labs")
+def lab_colors(spark, sf_dir):
+    return lab_pixels(spark, sf_dir).select("image_id", "x", "y", r6("l").alias("l"), r6("a").alias("a"), r6("b2").alias("b2"))
+
+
+@query(f"with {PIXELS} select image_id, count(*) as area, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from labs where abs(l - 140) <= 55 and sqrt((a - 128) * (a - 128) + (b2 - 140) * (b2 - 140)) <= 60 and not (x >= 20 and x < 30 and y >= 5 and y < 25) group by image_id")
+def color_masks(spark, sf_dir):
+    mask = K.exclude(K.color_mask(lab_pixels(spark, sf_dir), (140.0, 128.0, 140.0), 55.0, 60.0), [(20.4, 5.0, 30.9, 25.0)])
+    return mask.groupBy("image_id").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+@query(f"with {PIXELS} select m.image_id, m.x, m.y from labs m where m.l > 120 and not exists (select 1 from labs d where d.l <= 80 and d.image_id = m.image_id and abs(d.x - m.x) + abs(d.y - m.y) <= 1)")
+def dark_neighbors(spark, sf_dir):
+    pixels = lab_pixels(spark, sf_dir)
+    return K.suppress_dark(pixels.where("l > 120").select("image_id", "x", "y"), pixels)
+
+
+@query(f"""with {PIXELS}, m as (select image_id, x, y from labs where l > 140)
+select a.image_id, a.x, a.y, count(b.x) as degree, case count(b.x) when 0 then 'alone' when 1 then 'endpoint' when 2 then 'path' else 'junction' end as kind
+from m a left join m b on a.image_id = b.image_id and b.x between a.x - 1 and a.x + 1 and b.y between a.y - 1 and a.y + 1 and (a.x <> b.x or a.y <> b.y) group by all""")
+def skeleton_nodes(spark, sf_dir):
+    return K.skeleton_nodes(lab_pixels(spark, sf_dir).where("l > 140").select("image_id", "x", "y"))
+
+
+@query()
+def mask_components(spark, sf_dir):
+    return K.keep_components(K.component_stats(K.label_components(lab_pixels(spark, sf_dir).where("l > 140"))), 60, 60, min_area=1, min_x_span=1)
+
+
+@query()
+def skeletons(spark, sf_dir):
+    return K.skeleton(lab_pixels(spark, sf_dir).where("l > 60"))
