@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import axes as A
 from ..operators import curves as C
 from ..operators import masks as K
 from ..operators import matching as M
@@ -559,3 +560,25 @@ def mask_components(spark, sf_dir):
 @query()
 def skeletons(spark, sf_dir):
     return K.skeleton(lab_pixels(spark, sf_dir).where("l > 60"))
+
+
+# Each supplier has a drawn frame of 400 x 320 pixels with ticks; the SQL knows the frame from the key alone.
+
+
+@query("""with k as (select s_suppkey as image_id, 40 + s_suppkey % 30 as x0, 20 + s_suppkey % 10 as y0, 380 - s_suppkey % 20 as x1, 300 - s_suppkey % 40 as y1 from supplier)
+select image_id, x0 as x_min, y0 as y_min, x1 as x_max, y1 as y_max, round(0.75::double * ((x1 - x0) / 400.0::double + (y1 - y0) / 320.0::double) / 2 + 0.25::double * (x1 - x0) * (y1 - y0) / 128000, 6) as confidence from k""")
+def detect_axes(spark, sf_dir):
+    k = F.col("s_suppkey")
+    box = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (40 + k % 30).alias("x0"), (20 + k % 10).alias("y0"), (380 - k % 20).alias("x1"), (300 - k % 40).alias("y1"))
+
+    def row(y: Column) -> Column:
+        return F.transform(F.sequence(F.col("x0"), F.col("x1")), lambda x: F.struct(x.alias("x"), y.alias("y")))
+
+    def column(x: Column) -> Column:
+        return F.transform(F.sequence(F.col("y0"), F.col("y1")), lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    ticks = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct((F.col("x0") + 60 * i).alias("x"), (F.col("y1") + 1).alias("y")))
+    lines = [row(F.col("y0")), row(F.col("y1")), column(F.col("x0")), column(F.col("x1")), ticks]
+    drawn = box.select("image_id", F.explode(F.concat(*lines)).alias("p")).select("image_id", "p.x", "p.y", *(F.lit(20).alias(c) for c in "rgb"))
+    found = A.detect_axes(box.select("image_id", F.lit(400).alias("width"), F.lit(320).alias("height")), drawn)
+    return found.select("image_id", "x_min", "y_min", "x_max", "y_max", r6("confidence").alias("confidence"))

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from plotwright.operators import axes as A
 from plotwright.operators import masks as K
 from plotwright.sources import files
 
@@ -139,3 +140,15 @@ def test_skeleton_is_thin_and_in_one_piece(spark):
 def test_single_pixels_stay(spark):
     assert places(K.skeleton(mask(spark, [(3, 4), (9, 9)]))) == [(3, 4), (9, 9)]
     assert {r.kind for r in K.skeleton_nodes(mask(spark, [(3, 4), (9, 9)])).collect()} == {"alone"}
+
+
+def test_axes_and_their_absence(spark):
+    images = spark.createDataFrame([("a", 100, 80), ("none", 100, 80), ("flat", 100, 80)], "image_id string, width int, height int")
+    points = [("a", x, 70) for x in range(10, 91) if x != 40] + [("a", x, 69) for x in range(10, 60)] + [("a", 10, y) for y in range(5, 71)] + [("a", x, 75) for x in range(30)]
+    points += [("flat", x, 40) for x in range(90)] + [("none", 3, 3)]
+    pixels = spark.createDataFrame([(*p, 0, 0, 0) for p in points] + [("none", x, 9, 250, 250, 250) for x in range(99)] + [("none", x, 12, None, 0, 0) for x in range(99)], "image_id string, x int, y int, r int, g int, b int")
+    got = {r.image_id: r for r in A.detect_axes(images, pixels).collect()}
+    a = got["a"]
+    assert a.success and (a.x_min, a.y_min, a.x_max, a.y_max) == (10, 5, 90, 70) and a.error is None
+    assert abs(a.confidence - (0.75 * (80 / 100 + 65 / 80) / 2 + 0.25 * 80 * 65 / 8000)) < 1e-9
+    assert not got["none"].success and not got["flat"].success and got["flat"].x_max is None and got["flat"].h_score > 0
