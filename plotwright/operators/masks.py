@@ -60,16 +60,20 @@ def _placed(pixels: DataFrame) -> DataFrame:
     return pixels.where("x is not null and y is not null").select("image_id", F.col("x").cast("long"), F.col("y").cast("long"))
 
 
-def _labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Component numbers of pixels sorted by (x, y), 8-connected, in the order of their first pixels."""
-    n, width = len(x), int(y.max() - y.min()) + 3
-    key = (x - x.min()) * width + (y - y.min() + 1)
-    pairs = []
-    for step in (1, width - 1, width, width + 1):
-        at = np.searchsorted(key, key + step)
-        hit = np.flatnonzero((at < n) & (key[np.minimum(at, n - 1)] == key + step))
-        pairs.append(np.stack([hit, at[hit]]))
-    u, v = np.concatenate(pairs, axis=1)
+def _find(key: np.ndarray, step: int) -> np.ndarray:
+    """The place in the sorted keys of each key moved by ``step``, -1 where there is none."""
+    at = np.searchsorted(key, key + step)
+    return np.where((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step), at, -1)
+
+
+def _keys(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of places in (x, y) order, and how far columns lie apart; neighbours never wrap around."""
+    width = int(y.max() - y.min()) + 3
+    return (x - x.min()) * width + (y - y.min() + 1), width
+
+
+def _unite(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Component numbers of n nodes under the links (u, v), in the order of their first nodes."""
     root = np.arange(n)
     while len(u):
         least = np.minimum(root[u], root[v])
@@ -82,6 +86,14 @@ def _labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(root, return_inverse=True)[1]
 
 
+def _labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Component numbers of pixels sorted by (x, y), 8-connected."""
+    key, width = _keys(x, y)
+    found = [_find(key, step) for step in (1, width - 1, width, width + 1)]
+    u = np.concatenate([np.flatnonzero(f >= 0) for f in found])
+    return _unite(len(x), u, np.concatenate([f[f >= 0] for f in found]))
+
+
 def label_components(pixels: DataFrame) -> DataFrame:
     """``(image_id, x, y, component)``: 8-connected components of each image, numbered from 0 by their first pixel in (x, y) order."""
 
@@ -161,3 +173,95 @@ def skeleton_nodes(skeleton: DataFrame) -> DataFrame:
     every = votes.unionByName(skeleton.select("image_id", "x", "y", F.lit(0).alias("vote"), F.lit(1).alias("own")))
     out = every.groupBy("image_id", "x", "y").agg(F.sum("vote").alias("degree"), F.max("own").alias("own")).where("own = 1").drop("own")
     return out.withColumn("kind", F.when(F.col("degree") == 0, "alone").when(F.col("degree") == 1, "endpoint").when(F.col("degree") == 2, "path").otherwise("junction"))
+
+
+def _links(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between pixels sorted by (x, y): edges, and corners where no pixel joins both by edges."""
+    key, width = _keys(x, y)
+    up, down, right, left = (_find(key, s) for s in (-1, 1, width, -width))
+    pairs = [(np.arange(len(x)), down), (np.arange(len(x)), right)]
+    for step, beside in ((width + 1, down), (width - 1, up)):
+        pairs.append((np.arange(len(x)), np.where((right < 0) & (beside < 0), _find(key, step), -1)))
+    u, v = (np.concatenate(c) for c in zip(*pairs))
+    return u[v >= 0], v[v >= 0]
+
+
+def _without_spurs(x: np.ndarray, y: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    while len(x) >= 4:
+        u, v = _links(x, y)
+        degree = np.bincount(np.concatenate([u, v]), minlength=len(x))
+        joint = degree >= 3
+        inner = ~joint[u] & ~joint[v]
+        chain = _unite(len(x), u[inner], v[inner])
+        size = np.bincount(chain[~joint], minlength=len(x))
+        ends = np.bincount(chain[degree == 1], minlength=len(x))
+        # links from a chain to a junction, either way round
+        both = np.concatenate([np.stack([u, v]), np.stack([v, u])], axis=1)
+        src, dst = both[:, joint[both[1]] & ~joint[both[0]]]
+        held = np.bincount(chain[src], minlength=len(x))
+        spur = (size <= longest) & (ends == 1) & (held == 1)
+        for i, j in zip(src[spur[chain[src]]].tolist(), dst[spur[chain[src]]].tolist()):
+            others = both[1][both[0] == j]
+            others = others[others != i]
+            step, on = (x[j] - x[i], y[j] - y[i]), (x[others] - x[j], y[others] - y[j])
+            cosine = (step[0] * on[0] + step[1] * on[1]) / (np.hypot(*step) * np.hypot(*on))
+            if (cosine >= np.sqrt(0.5) - 1e-9).any():
+                spur[chain[i]] = False
+        kept = joint | ~spur[chain]
+        if kept.all() or kept.sum() < 2:
+            break
+        x, y = x[kept], y[kept]
+    return x, y
+
+
+def prune_spurs(skeleton: DataFrame, longest: int = 12) -> DataFrame:
+    """``(image_id, x, y)`` without chains of up to ``longest`` pixels that lead from an end to a junction and don't go straight on there (within 45 degrees); again until none is left."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["x", "y"]).sort_values(["x", "y"])
+        xs, ys = _without_spurs(group["x"].to_numpy(), group["y"].to_numpy(), longest)
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "x": xs, "y": ys})
+
+    pixels = _placed(skeleton)
+    return pixels.groupBy("image_id").applyInPandas(run, f"image_id {pixels.schema['image_id'].dataType.simpleString()}, x long, y long")
+
+
+def _longest(n: int, u: np.ndarray, v: np.ndarray) -> list[int]:
+    """The longest of the shortest paths from an end (the first node where there is none); the first of equals."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    for i, j in zip(u.tolist(), v.tolist()):
+        near[i].append(j)
+        near[j].append(i)
+    best: list[int] = []
+    for start in [i for i in range(n) if len(near[i]) == 1] or [0]:
+        came, order = {start: -1}, [start]
+        for i in order:
+            for j in sorted(near[i]):
+                if j not in came:
+                    came[j] = i
+                    order.append(j)
+        path, at = [], order[-1]
+        while at >= 0:
+            path.append(at)
+            at = came[at]
+        if len(path) > len(best):
+            best = path[::-1]
+    return best
+
+
+def trace_paths(skeleton: DataFrame) -> DataFrame:
+    """``(image_id, component, seq, x, y)``: the longest path through each component of a skeleton, in order.
+
+    It begins at the first end in (x, y) order that gives the longest path; a ring is followed from its first
+    pixel to the farthest. A component costs its pixels times its ends, so spurs should be pruned before.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["x", "y"], ignore_index=True)
+        x, y = group["x"].to_numpy(), group["y"].to_numpy()
+        path = _longest(len(x), *_links(x, y))
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "component": group["component"].iloc[0], "seq": range(len(path)), "x": x[path], "y": y[path]})
+
+    labelled = label_components(skeleton)
+    kind = labelled.schema["image_id"].dataType.simpleString()
+    return labelled.groupBy("image_id", "component").applyInPandas(run, f"image_id {kind}, component long, seq long, x long, y long")

@@ -582,3 +582,8 @@ def detect_axes(spark, sf_dir):
     drawn = box.select("image_id", F.explode(F.concat(*lines)).alias("p")).select("image_id", "p.x", "p.y", *(F.lit(20).alias(c) for c in "rgb"))
     found = A.detect_axes(box.select("image_id", F.lit(400).alias("width"), F.lit(320).alias("height")), drawn)
     return found.select("image_id", "x_min", "y_min", "x_max", "y_max", r6("confidence").alias("confidence"))
+
+
+@query()
+def traced_paths(spark, sf_dir):
+    return K.trace_paths(K.prune_spurs(K.skeleton(lab_pixels(spark, sf_dir).where("l > 60"))))

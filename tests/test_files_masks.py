@@ -152,3 +152,21 @@ def test_axes_and_their_absence(spark):
     assert a.success and (a.x_min, a.y_min, a.x_max, a.y_max) == (10, 5, 90, 70) and a.error is None
     assert abs(a.confidence - (0.75 * (80 / 100 + 65 / 80) / 2 + 0.25 * 80 * 65 / 8000)) < 1e-9
     assert not got["none"].success and not got["flat"].success and got["flat"].x_max is None and got["flat"].h_score > 0
+
+
+def test_spurs_go_and_crossings_stay(spark):
+    line = [(x, 10) for x in range(11)]
+    assert places(K.prune_spurs(mask(spark, line + [(5, 7), (5, 8), (5, 9)]))) == sorted(line)
+    cross = line + [(5, y) for y in range(5, 16) if y != 10]
+    assert places(K.prune_spurs(mask(spark, cross))) == sorted(cross)
+    assert places(K.prune_spurs(mask(spark, line + [(5, 7), (5, 8), (5, 9)]), longest=2)) == sorted(line + [(5, 7), (5, 8), (5, 9)])
+
+
+def test_paths_in_order(spark):
+    bend = [(x, 0) for x in range(6)] + [(5 + i, i) for i in range(1, 5)]
+    ring = [(20, 0), (21, 0), (22, 0), (22, 1), (22, 2), (21, 2), (20, 2), (20, 1)]
+    rows = K.trace_paths(mask(spark, bend[::-1] + bend + ring + [(40, 40)])).orderBy("component", "seq").collect()
+    got = {c: [(r.x, r.y) for r in rows if r.component == c] for c in (0, 1, 2)}
+    assert got[0] == bend and got[2] == [(40, 40)]
+    assert got[1][0] == (20, 0) and got[1][-1] == (22, 2) and len(got[1]) == 5
+    assert K.trace_paths(mask(spark, bend).where("false")).count() == 0
