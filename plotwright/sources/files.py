@@ -35,7 +35,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("curve_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        number(F.regexp_replace("a", "^﻿", "")).alias("x"),
+        number(F.regexp_replace("a", "^\ufeff", "")).alias("x"),
         number(F.col("b")).alias("y"),
     ).where("x is not null and y is not null")
     seq = F.row_number().over(Window.partitionBy("curve_id").orderBy("block", "at")) - 1
