@@ -281,8 +281,11 @@ def write(tokens: DataFrame, path: str, limit: int = LIMIT) -> None:
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
-                c = np.bincount(_unpack(x, n), minlength=len(total))
+            values, sizes = batch.column("ids").to_pylist(), batch.column("n").to_pylist()
+            kind = "<u2" if sum(map(len, values)) == 2 * sum(sizes) else "<u4"
+            flat = np.frombuffer(b"".join(values), kind)
+            for i in range(0, len(flat), SEGMENT):
+                c = np.bincount(flat[i : i + SEGMENT], minlength=len(total))
                 c[: len(total)] += total
                 total = c
         used = np.flatnonzero(total)
