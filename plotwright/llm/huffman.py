@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,9 +216,11 @@ class WordEncoder:
             return [np.array(x, np.int64) for x in self.library_ids(texts)]
         cache = self.cache
         cache.shrink()
-        split = [t.lower().split() if b"<|" not in t else t.split() for t in texts]  # special tokens are found before lowering
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        every = list(chain.from_iterable(split))
+        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.binary())  # special tokens are found before lowering
+        split = pc.ascii_split_whitespace(lowered.view(pa.string()))
+        counts = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        every = words.dictionary.view(pa.binary()).to_pylist()
         used = cache.find(every)
         missing = np.flatnonzero(used < 0).tolist()
         if missing:
@@ -231,6 +234,7 @@ class WordEncoder:
             flat, sizes = cache.gather(cache.find(parts))
             cache.add(tailed, flat, sizes.reshape(-1, 2).sum(axis=1))
             used[missing] = cache.find([every[i] for i in missing])
+        used = used[words.indices.to_numpy()]
         cache.use(used)
         flat, sizes = cache.gather(used)
         ends = np.concatenate([[0], np.cumsum(sizes)])
