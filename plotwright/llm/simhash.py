@@ -244,7 +244,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     rooted = counted.join(found, counted.key == found.node, "left").select("doc_id", "key", "rows", F.coalesce("root", "key").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     stays = rooted.groupBy("root").agg(F.min(order).alias("least"))
-    judged = rooted.join(stays, "root").select("doc_id", "key", "rows", order.eqNullSafe(F.col("least")).alias("stays"))
+    # joined by the row, not by the group: one group may hold a third of all rows
+    stays = stays.select(F.col("least.doc_id").alias("__pw_id"), F.col("least.key").alias("__pw_key"))
+    judged = rooted.join(stays, rooted.doc_id.eqNullSafe(stays["__pw_id"]) & (rooted.key == stays["__pw_key"]), "left")
+    judged = judged.select("doc_id", "key", "rows", F.col("__pw_key").isNotNull().alias("stays"))
     judged = scratch.save(judged, "judged")
     gone = small(scratch.save(judged.where("not stays").select("doc_id", "key"), "gone"), 160).select(F.col("doc_id").alias("__pw_id"), F.col("key").alias("__pw_key"))
     kept = docs.withColumn("__pw_text_key", F.md5(text.cast("binary")))
