@@ -200,7 +200,8 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = keyed.join(asked, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key string, shingles binary")
+    # equal texts are united in each task before the shuffle; one text may make up a third of all rows
+    held = keyed.dropDuplicates(["key"]).join(asked, "key", "left_semi").select("key", "text").mapInArrow(sets, "key string, shingles binary")
     held = scratch.save(held, "shingles")
     of = lambda name, bytes_: held.select(F.col("key").alias(name), F.col("shingles").alias(bytes_))
     return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a string, b string")
