@@ -220,7 +220,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(lowered.view(pa.string()))
         counts = np.diff(split.offsets.to_numpy())
         words = split.flatten().dictionary_encode()
-        every = words.dictionary.view(pa.binary()).to_pylist()
+        every = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         used = cache.find(every)
         missing = np.flatnonzero(used < 0).tolist()
         if missing:
