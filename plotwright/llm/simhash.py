@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, session, slices, small, table
@@ -34,6 +34,8 @@ VIEWS = 12
 VIEW_SHINGLES = 3
 SIMILARITY = 0.8
 STAGE_WORDS = 5
+#: Counters of shingles by hash; they order shingles by rarity, and any order gives the same result.
+COUNTERS = 1 << 16
 
 
 def _signed(x: int) -> int:
@@ -165,21 +167,81 @@ def _distinct(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate([*shingle_hashes(text, words), np.zeros(0, np.uint64)]))
 
 
-def _views(keyed: DataFrame, words: int) -> DataFrame:
-    """``(key, fp, views array<long>)`` of ``keyed(key, text)``."""
+def _popularity(keyed: DataFrame, words: int) -> np.ndarray:
+    """How many distinct shingles of the texts of ``keyed(key, text)`` fall on each of COUNTERS counters."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, found in slices(batches, "text"):
+            for x in found:
+                total += np.bincount(_distinct(x, words) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
+
+    found = keyed.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefix(n: int, similarity: float) -> int:
+    """How many of a set's ``n`` shingles, the first in one order of all shingles, meet those of every set similar to it."""
+    return min(n, int((1 - similarity) * n + 1e-6) + 1)
+
+
+def _views(keyed: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """``(key, fp, views array<long>, size, score, rare array<long>)`` of ``keyed(key, text)``.
+
+    ``size`` counts the distinct shingles, ``score`` is their mean popularity, and ``rare`` has the prefix of
+    them in the order of rarity; a text without words has a single zero there.
+    """
     odd = np.random.default_rng(SEED).integers(0, 1 << 62, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sent = keyed.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        popular = sent.value
         for part, found in slices(batches, "text"):
-            fps, views = [], []
+            fps, views, sizes, scores, rare = [], [], [], [], []
             for x in found:
                 h = np.concatenate([*shingle_hashes(x, words), np.zeros(0, np.uint64)])
                 ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
                 fps.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0)
-                views.append(_sampled(np.unique(h), odd))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fps, pa.int64()), pa.array(views, pa.list_(pa.int64()))], names=["key", "fp", "views"])
+                h = np.unique(h)
+                views.append(_sampled(h, odd))
+                often = popular[h % np.uint64(COUNTERS)]
+                sizes.append(len(h))
+                scores.append(float(often.mean()) if len(h) else 0.0)
+                # the sort is stable: equally rare shingles stay in the order of their hashes
+                rare.append(h[np.argsort(often, kind="stable")[: _prefix(len(h), similarity)]].view(np.int64) if len(h) else np.zeros(1, np.int64))
+            longs = pa.list_(pa.int64())
+            cols = [part.column("key"), pa.array(fps, pa.int64()), pa.array(views, longs), pa.array(sizes, pa.int32()), pa.array(scores, pa.float64()), pa.array(rare, longs)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", "views", "size", "score", "rare"])
+
+    return keyed.mapInArrow(run, "key string, fp long, views array<long>, size int, score double, rare array<long>")
 
-    return keyed.mapInArrow(run, "key string, fp long, views array<long>")
+
+def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of keys that hold every similar pair of ``views`` whose ends have different roots in ``found(node, root)``.
+
+    Two similar sets share a shingle among the first of both, in any one order of all shingles (prefix
+    filter). Their sizes, and what is left of both after the first shared shingle, bound the similarity too.
+    """
+    texts = views.join(found, views.key == found.node, "left").select("key", F.xxhash64("key").alias("id"), F.xxhash64(F.coalesce("root", "key")).alias("root"))
+    texts = scratch.save(texts, "roots")
+    rows = views.select(F.xxhash64("key").alias("id"), F.col("size").alias("n"), F.posexplode("rare").alias("i", "shingle"))
+    of = Window.partitionBy("shingle")
+    rows = rows.withColumns({"low": F.min("id").over(of), "high": F.max("id").over(of)}).where("low <> high").drop("low", "high")
+    rows = rows.join(small(texts, 24).select("id", "root").distinct(), "id")
+    rows = rows.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").drop("low", "high")
+    rows = scratch.save(rows, "prefixes")
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "i")]) for s in "ab")
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    near = (F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b")) & (left + 1e-6 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
+    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    pairs = pairs.select("id_a", "id_b").distinct()
+    for s in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(s)), f"id_{s}")
+    return scratch.save(pairs.select("a", "b"), "unlinked")
 
 
 def _similar(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -213,10 +275,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     Texts are similar if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or
     more; groups are the components of that relation, and the row with the smallest doc_id stays. At a
     similarity of 0.8 two 64-bit fingerprints differ in up to 18 bits, where no bound from bit counts prunes
-    anything. So candidates share a grid cell of the whole fingerprint at two bits (see ``links``), or have
+    anything. So candidates first share a grid cell of the whole fingerprint at two bits (see ``links``), or have
     equal SimHashes of a sample of VIEW_SHINGLES shingles, for one of VIEWS samples: each text of a cell is
-    compared with the cell's first and last member. The exact similarity decides. For a pair at 0.8 the
-    chance to share no view is 0.49 ** 12, under 0.0002.
+    compared with the cell's first and last member and the one of the most common shingles, in a star the
+    middle. That unites most groups at little cost. Then every pair of different groups that a prefix filter
+    can't exclude is judged as well (see ``_unlinked``), so no link between groups is lost. The exact
+    similarity decides both times. Texts that share rare shingles and yet aren't similar are judged pair by pair.
 
     Null texts count as empty; texts without words are similar to each other only. Rows without doc_id come
     after all others; repeated rows are near-duplicates. An empty table gives an empty result.
@@ -225,13 +289,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     scratch = Scratch(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    seen = scratch.save(_views(keyed, words), "views")
+    seen = scratch.save(_views(keyed, words, similarity, _popularity(keyed, words)), "views")
     views = seen.dropDuplicates(["key"])
-    cells = views.select("key", F.posexplode("views").alias("view", "value"))
-    cells = cells.unionByName(views.select("key", F.lit(-1).alias("view"), F.col("fp").alias("value")))
-    ends = cells.groupBy("view", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
-    met = cells.join(ends, ["view", "value"])
-    met = met.select("key", F.explode(F.array("low", "high")).alias("other")).where("key <> other")
+    cells = views.select("key", "score", F.posexplode("views").alias("view", "value"))
+    cells = cells.unionByName(views.select("key", "score", F.lit(-1).alias("view"), F.col("fp").alias("value")))
+    middle = F.max(F.struct("score", "key"))
+    ends = cells.groupBy("view", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"), middle.alias("middle"), F.count("*").alias("n")).where("n > 1")
+    met = cells.drop("score").join(ends, ["view", "value"])
+    met = met.select("key", F.explode(F.array("low", "high", "middle.key")).alias("other")).where("key <> other")
     whole = views.groupBy("fp").agg(F.min("key").alias("key"))
     near = links(whole.select("fp"), scratch)
     first, second = whole.select(F.col("fp").alias("a"), F.col("key").alias("ka")), whole.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
@@ -239,6 +304,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     pairs = met.unionByName(near).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
     found = connected_components(_similar(pairs, keyed, words, similarity, scratch), scratch)
+    pairs = _unlinked(views, found, similarity, scratch)
+    if pairs.take(1):
+        more = _similar(pairs, keyed, words, similarity, scratch)
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 
     ids = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"))
     counted = scratch.save(ids.groupBy("doc_id", "key").agg(F.count("*").alias("rows")), "ids")

@@ -160,6 +160,44 @@ def test_drop_near_duplicates_by_jaccard(spark):
     assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0
 
 
+def kept_by_brute_force(rows):
+    """Ids that stay, by the Jaccard similarities of all pairs."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t, _ in rows)]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return sorted({root: rows[root][0] for root in components(links, range(len(rows))).values()}.values())
+
+
+def edited(r, text, n):
+    w = text.split()
+    for at in r.sample(range(len(w)), n):
+        w[at] = f"edit{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_a_star_of_copies_around_one_original_is_one_group(spark):
+    r, hub = random.Random(8), prose(1, 300)
+    # each copy is at 0.81 to the original and at about 0.67 to the others; the original isn't the first row
+    rows = [(i, edited(r, hub, 6), "s") for i in range(520)]
+    rows[260] = (260, hub, "s")
+    assert kept_by_brute_force(rows) == [0]
+    assert [x.doc_id for x in simhash.drop_near_duplicates(docs(spark, rows)).collect()] == [0]
+
+
+def test_groups_near_the_bound_equal_brute_force(spark, monkeypatch):
+    r, rows = random.Random(9), []
+    for family in range(6):
+        base = [prose(family, 12 + 60 * family)]
+        for _ in range(40):  # copies of copies: chains and bushes at 0.7 to 0.95
+            text = r.choice(base)
+            base.append(edited(r, text, r.randrange(1, 3 + len(text.split()) // 40)))
+        rows += [(len(rows) + i, t, "s") for i, t in enumerate(base)]
+    want = kept_by_brute_force(rows)
+    assert 6 < len(want) < len(rows) - 6
+    for views in (simhash.VIEWS, 1):  # whatever the views find, nothing is lost
+        monkeypatch.setattr(simhash, "VIEWS", views)
+        assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs(spark, rows)).collect()) == want
+
+
 # language
 
 
