@@ -378,8 +378,8 @@ def kmeans_1d(spark, sf_dir):
 
 @query()
 def trajectory(spark, sf_dir):
-    # the hypotheses are all pairs of an image's points: one image has some dozens
-    rows = points(spark, sf_dir).where("id < 600").withColumn("image_id", F.floor(F.col("id") / 30))
+    # the hypotheses are all pairs of an image's points: one image has 30
+    rows = points(spark, sf_dir).withColumn("image_id", F.floor(F.col("id") / 30))
     return M.trajectories(rows, 3)
 
 
