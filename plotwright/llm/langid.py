@@ -103,8 +103,8 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Data
     return hosts.select("host", "suffix", F.array(*smooth([F.col("up")[i] for i in range(len(languages))])).alias("prior"))
 
 
-def identify(rows: DataFrame, model: np.ndarray, scratch: Scratch, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """``rows`` with ``language``, ``posterior`` and ``accepted``; columns of these names are replaced.
+def identify(rows: DataFrame, model: np.ndarray, scratch: Scratch, languages: tuple[str, ...] = LANGUAGES, without: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``language``, ``posterior`` and ``accepted``; columns of these names are replaced, those of ``without`` don't come back.
 
     ``rows`` has ``text``, ``declared``, ``suffix`` and ``host``, each of which may be null and then says
     nothing (a null host has its suffix's prior). Declared languages are lowered and cut at ``-`` or ``_``. A
@@ -113,6 +113,7 @@ def identify(rows: DataFrame, model: np.ndarray, scratch: Scratch, languages: tu
     """
     spark = session(rows)
     names = [c for c in rows.columns if c not in ("language", "posterior", "accepted")]
+    back = [c for c in names if c not in without]
     declared = F.regexp_extract(F.lower(F.trim("declared")), "^[a-z]+", 0)
     rows = rows.select(*names, declared.alias("__pw_declared"))
     priors = scratch.save(host_priors(rows.select("host", "suffix", F.col("__pw_declared").alias("declared")), languages), "priors")
@@ -143,11 +144,11 @@ def identify(rows: DataFrame, model: np.ndarray, scratch: Scratch, languages: tu
                 gain = (total[best] - total[n]) / grams if grams else -1.0
                 ok = letters >= LEAST_LETTERS and gain >= LEAST_GAIN and p[best] >= LEAST_POSTERIOR
                 out.append((languages[best] if ok else "und", float(p[best]), ok, gain, letters))
-            kept = [part.column(c) for c in names]
+            kept = [part.column(c) for c in back]
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*names, "language", "posterior", "accepted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*back, "language", "posterior", "accepted"])
 
-    schema = extended(rows.select(*names), "language string, posterior double, accepted boolean")
+    schema = extended(rows.select(*back), "language string, posterior double, accepted boolean")
     return joined.select(*names, "__pw_declared", "__pw_prior").mapInArrow(run, schema)
 
 
@@ -177,7 +178,14 @@ def reject_unidentified(docs: DataFrame) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, from its text, its declared language and its source."""
+    """The language of every document, from its text, its declared language and its source, and of every page, from its text, markup, suffix and host.
+
+    A row has a ``doc_id`` or a ``page_id``; ``lang`` is what it declares. Documents and pages have priors of their own.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(document_evidence(docs), fit(docs), Scratch(spark))
-    return found.select("doc_id", "lang", "language", F.round("posterior", 6).alias("posterior"), "accepted")
+    model, scratch, missing = fit(docs), Scratch(spark), F.lit(None).cast("long")
+    found = identify(document_evidence(docs), model, scratch, without=("text",)).select(F.col("doc_id").cast("long"), missing.alias("page_id"), "lang", "language", "posterior", "accepted")
+    # written first, so that pages and documents aren't held at once
+    pages = scratch.save(identify(page_evidence(table(spark, sf_dir, "pages")), model, scratch, without=("text", "host", "suffix")), "pages")
+    found = found.unionByName(pages.select(missing.alias("doc_id"), F.col("page_id").cast("long"), F.col("declared").alias("lang"), "language", "posterior", "accepted"))
+    return found.select("doc_id", "page_id", "lang", "language", F.round("posterior", 6).alias("posterior"), "accepted")

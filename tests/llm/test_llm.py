@@ -232,6 +232,27 @@ def test_host_priors_and_page_evidence(spark):
     assert (second.text, second.declared, second.suffix, second.host) == (None, None, None, None)
 
 
+def test_op3_judges_every_document_and_page(spark, tmp_path):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    table("documents").write.parquet(str(tmp_path / "documents.parquet"))
+    # no text thrice: only the address or the markup tells the language
+    body = "<body></body>"
+    planted = [(9001, "http://a.example.de/x", f"<html>{body}</html>"), (9002, "http://b.example.fr/x", f"<html>{body}</html>"), (9003, "http://c.example.org/x", f'<html lang="es">{body}</html>'), (9004, None, None)]
+    pages = table("pages")
+    pages.unionByName(spark.createDataFrame(planted, pages.schema)).write.parquet(str(tmp_path / "pages.parquet"))
+    found = langid.op3_language_id(spark, str(tmp_path)).toPandas()
+    of = found[found.page_id.notna()].set_index("page_id")
+    assert sorted(found.doc_id.dropna().astype(int)) == sorted(r.doc_id for r in table("documents").collect())
+    assert sorted(of.index.astype(int)) == sorted([r.page_id for r in pages.collect()] + [9001, 9002, 9003, 9004])
+    own = of[of.index < 9001]  # some pages are junk, which is rejected
+    assert own.accepted.mean() >= 0.8 and (own.language == own.lang)[own.accepted.astype(bool)].all()
+    assert not of.loc[9004].accepted and of.loc[9003].lang == "es"
+    evidence = langid.page_evidence(spark.createDataFrame(planted[:3], pages.schema)).orderBy("page_id")
+    model = langid.fit(table("documents"))
+    alone = langid.identify(evidence.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "host")}), model, Scratch(spark)).toPandas()
+    assert (of.loc[[9001, 9002, 9003]].posterior > 0.6).all() and (alone.posterior < 0.3).all()
+
+
 # mixing
 
 
