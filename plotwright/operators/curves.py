@@ -153,35 +153,143 @@ def resample_gpr(curves: DataFrame, least: int = 500, most: int = 400) -> DataFr
     return curves.select("curve_id", "seq", "x", "y").groupBy("curve_id").applyInPandas(fit, "curve_id string, k long, x double, y double, y_std double")
 
 
+def _basis(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first of the four cubic B-splines over the knots ``t`` that aren't zero at each x, and their values."""
+    at = np.clip(np.searchsorted(t, x, "right") - 1, 3, len(t) - 5)
+    b = np.ones((len(x), 1))
+    for p in range(1, 4):
+        new = np.zeros((len(x), p + 1))
+        for r in range(p):
+            right, left = t[at + r + 1], t[at + r + 1 - p]
+            w = b[:, r] / (right - left)
+            new[:, r] += w * (right - x)
+            new[:, r + 1] += w * (x - left)
+        b = new
+    return at - 3, b
+
+
+def _jumps(t: np.ndarray) -> np.ndarray:
+    """Jumps of the third derivative at the inner knots: a row of five coefficients for each, in the unit of the mean distance of knots."""
+    inner, step = len(t) - 8, (t[-1] - t[0]) / (len(t) - 7)
+    out = np.zeros((inner, 5))
+    for l in range(inner):
+        k = l + 4  # this knot meets the splines l to l + 4
+        for j in range(5):
+            gaps = [t[k] - t[i] for i in range(l + j, l + j + 5) if i != k]
+            out[l, j] = (t[l + j + 4] - t[l + j]) / np.prod([g / step for g in gaps])
+    return out
+
+
+def _banded(starts: np.ndarray, rows: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bands ``(n, width)`` of the normal equations of ``rows`` (values from column ``starts`` on), and their right side."""
+    width = rows.shape[1]
+    band, right = np.zeros((n, 5)), np.zeros(n)
+    for i in range(width):
+        np.add.at(right, starts + i, rows[:, i] * y)
+        for j in range(i + 1):
+            np.add.at(band, (starts + i, i - j), rows[:, i] * rows[:, j])
+    return band, right
+
+
+def _solve(band: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution by a banded Cholesky decomposition; ``band[i, d]`` is the matrix at ``(i, i - d)``."""
+    n, low = len(band), band.tolist()
+    for i in range(n):
+        for d in range(min(4, i), -1, -1):
+            j = i - d
+            v = low[i][d] - sum(low[i][d + e] * low[j][e] for e in range(1, min(4 - d, j) + 1))
+            low[i][d] = v / low[j][0] if d else max(v, 1e-14 * band[i, 0]) ** 0.5
+    c = right.tolist()
+    for i in range(n):
+        c[i] = (c[i] - sum(low[i][d] * c[i - d] for d in range(1, min(4, i) + 1))) / low[i][0]
+    for i in range(n - 1, -1, -1):
+        c[i] = (c[i] - sum(low[i + d][d] * c[i + d] for d in range(1, min(4, n - 1 - i) + 1))) / low[i][0]
+    return np.array(c)
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and coefficients of the cubic spline whose squared residuals are at most ``bound``, after Dierckx.
+
+    Knots are added where the residuals are largest, at points of the curve, until least squares fulfil the
+    bound or the spline interpolates. Then the jumps of the third derivative are made as small as the bound
+    lets them be. x rises strictly; there are four points at least.
+    """
+    m, inner, added, before = len(x), [], 0, 0.0
+    while True:
+        t = np.concatenate([[x[0]] * 4, x[sorted(inner)], [x[-1]] * 4])
+        n = len(t) - 4
+        starts, rows = _basis(x, t)
+        band, right = _banded(starts, rows, y, n)
+        c = _solve(band, right)
+        left = y - (rows * c[starts[:, None] + np.arange(4)]).sum(axis=1)
+        total = float(left @ left)
+        if total <= bound or n == m:
+            break
+        fall = before - total
+        if not inner:
+            added = 1
+        else:
+            want = int(added * (total - bound) / fall) if fall > 0.001 * bound else 2 * added
+            added = min(2 * added, max(want, added // 2, 1))
+        before = total
+        # squared residuals inside of the pieces between knots; a knot's own count half to both sides
+        knots = [0, *sorted(inner), m - 1]
+        squares, ends = left * left, np.array(knots)
+        sums = np.concatenate([[0.0], np.cumsum(squares)])
+        weight = (sums[ends[1:]] - sums[ends[:-1] + 1] + np.where(ends[:-1] > 0, 0.5, 1.0) * squares[ends[:-1]] + np.where(ends[1:] < m - 1, 0.5, 1.0) * squares[ends[1:]]).tolist()
+        for _ in range(added):
+            pieces = [b - a - 1 for a, b in zip(knots, knots[1:])]
+            open_ = [k for k, p in enumerate(pieces) if p > 0]
+            if not open_ or len(knots) + 2 >= m:
+                break
+            k = max(open_, key=lambda i: weight[i])
+            half, whole = pieces[k] // 2 + 1, weight[k]
+            weight[k : k + 1] = [whole * (half - 1) / pieces[k], whole * (pieces[k] - half) / pieces[k]]
+            knots.insert(k + 1, knots[k] + half)
+        inner = knots[1:-1]
+        if len(inner) + 4 >= m:  # as many coefficients as points: interpolation, knots at all points but two from each end
+            inner = list(range(2, m - 2))
+    if not inner or total >= bound:
+        return t, c
+    jumps = _jumps(t)
+    jump_band, _ = _banded(np.arange(len(inner)), jumps, np.zeros(len(inner)), n)
+    strong, weak, best = 12.0, -24.0, c  # powers of ten of the penalty: too strong, not too strong
+    for _ in range(50):
+        power = (strong + weak) / 2
+        c = _solve(band + 10.0**power * jump_band, right)
+        left = y - (rows * c[starts[:, None] + np.arange(4)]).sum(axis=1)
+        total = float(left @ left)
+        if total <= bound:
+            weak, best = power, c
+            if total >= 0.9999 * bound:
+                break
+        else:
+            strong = power
+    return t, best
+
+
 def resample_bspline(curves: DataFrame, least: int = 500, smoothing: float = 0.1) -> DataFrame:
-    """``(curve_id, k, x, y)`` by a cubic smoothing B-spline: knots are doubled until the squared residuals are at most smoothing * n * variance."""
-
-    def basis(x: np.ndarray, inner: np.ndarray, lo: float, hi: float) -> np.ndarray:
-        t = np.concatenate([[lo] * 4, inner, [hi] * 4])
-        b = ((x[:, None] >= t[None, :-1]) & (x[:, None] < t[None, 1:])).astype(float)
-        b[x == hi, len(t) - 5] = 1.0
-        for p in range(1, 4):
-            n = len(t) - p - 1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                left = np.nan_to_num((x[:, None] - t[None, :n]) / (t[p : p + n] - t[:n]), nan=0.0, posinf=0.0, neginf=0.0)
-                right = np.nan_to_num((t[None, p + 1 : p + 1 + n] - x[:, None]) / (t[p + 1 : p + 1 + n] - t[1 : n + 1]), nan=0.0, posinf=0.0, neginf=0.0)
-            b = left * b[:, :n] + right * b[:, 1 : n + 1]
-        return b
+    """``(curve_id, k, x, y)`` by a cubic smoothing B-spline whose squared residuals are at most smoothing * n * variance (see ``smoothing_spline``).
+
+    Points of one x count as their mean. A curve of fewer than four of them is taken as the polynomial through them.
+    """
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["x", "seq"])
         x, y = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-        lo, hi, inner = x.min(), x.max(), 0
-        while True:
-            knots = np.quantile(x, np.linspace(0, 1, inner + 2)[1:-1])
-            b = basis(x, knots, lo, hi)
-            c = np.linalg.lstsq(b, y, rcond=None)[0]
-            if ((y - b @ c) ** 2).sum() <= smoothing * len(x) * y.var() or 2 * inner + 5 >= min(len(x), 256):
-                break
-            inner = 2 * inner + 1
-        size = max(least, 2 * len(x))
-        grid = np.linspace(lo, hi, size)
-        return pd.DataFrame({"curve_id": frame["curve_id"].iloc[0], "k": np.arange(size), "x": grid, "y": basis(grid, knots, lo, hi) @ c})
+        size, bound = max(least, 2 * len(x)), smoothing * len(x) * y.var()
+        x, at = np.unique(x, return_inverse=True)
+        y = np.bincount(at, y) / np.bincount(at)
+        grid = np.linspace(x[0], x[-1], size)
+        if len(x) < 4:
+            mid = x.mean()
+            values = np.polyval(np.polyfit(x - mid, y, len(x) - 1), grid - mid)
+        else:
+            scale = x[-1] - x[0]
+            t, c = smoothing_spline((x - x[0]) / scale, y, bound)
+            starts, rows = _basis((grid - x[0]) / scale, t)
+            values = (rows * c[starts[:, None] + np.arange(4)]).sum(axis=1)
+        return pd.DataFrame({"curve_id": frame["curve_id"].iloc[0], "k": np.arange(size), "x": grid, "y": values})
 
     return curves.select("curve_id", "seq", "x", "y").groupBy("curve_id").applyInPandas(fit, "curve_id string, k long, x double, y double")
 

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from plotwright.operators import curves as C
 from plotwright.plans import queries as Q
 
 
@@ -54,3 +56,29 @@ def test_trajectories_of_every_image_equal_brute_force(spark, tmp_path):
     want = {(at // 30, k): v for at in range(0, n, 30) for k, v in brute_trajectories(points[at : at + 30]).items()}
     assert got == want
     assert {i for i, _ in want} == set(range(n // 30))
+
+
+def noisy(seed, n):
+    rng = np.random.default_rng(seed)
+    return np.sin(np.linspace(0, 9, n)) + rng.normal(0, 1, n)
+
+
+def test_bspline_keeps_its_residual_bound(spark):
+    rows = [(str(n), i, float(i), float(y)) for n in (4, 30, 31, 700) for i, y in enumerate(noisy(n, n))]
+    curves = spark.createDataFrame(rows, "curve_id string, seq long, x double, y double")
+    for n in (4, 30, 31, 700):
+        # every tenth place of the grid is a point of the curve
+        got = C.resample_bspline(curves.where(F.col("curve_id") == str(n)), least=10 * (n - 1) + 1).orderBy("k").toPandas()
+        y = noisy(n, n)
+        total, bound = ((y - got.y.to_numpy()[::10]) ** 2).sum(), 0.1 * n * y.var()
+        assert len(got) == 10 * (n - 1) + 1 and total <= bound * 1.0001
+        assert n == 4 or total >= 0.99 * bound  # as smooth as the bound lets it be
+
+
+def test_a_strong_penalty_gives_the_cubic():
+    x = np.linspace(0, 1, 40)
+    y = noisy(5, 40)
+    cubic = np.polyval(np.polyfit(x, y, 3), x)
+    t, c = C.smoothing_spline(x, y, 0.999 * ((y - cubic) ** 2).sum())
+    starts, rows = C._basis(x, t)
+    assert np.abs((rows * c[starts[:, None] + np.arange(4)]).sum(axis=1) - cubic).max() < 0.15
