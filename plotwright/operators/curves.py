@@ -121,21 +121,16 @@ def resample_pchip(curves: DataFrame, least: int = 500) -> DataFrame:
     return rows.select("curve_id", "k", F.col("gx").alias("x"), F.when(F.col("x1").isNull(), F.col("y")).otherwise(y).alias("y"))
 
 
-def resample_gpr(curves: DataFrame, least: int = 500, most: int = 400) -> DataFrame:
+def resample_gpr(curves: DataFrame, least: int = 500) -> DataFrame:
     """``(curve_id, k, x, y, y_std)`` by Gaussian process regression (RBF and white noise; the length scale with the best likelihood of a fixed grid).
 
-    The exact regression is cubic in the points, so curves of more than ``most`` points are first averaged
-    into ``most`` equal ranges of x.
+    All points count. The regression is exact, so its time is cubic and its memory quadratic in a curve's points.
     """
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["x", "seq"])
         x, y = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
         size, lo, hi = max(least, 2 * len(x)), x.min(), x.max()
-        if len(x) > most:
-            bin_ = np.minimum(((x - lo) / (hi - lo) * most).astype(int), most - 1)
-            n = np.bincount(bin_, minlength=most)
-            x, y = (np.bincount(bin_, v, most)[n > 0] / n[n > 0] for v in (x, y))
         grid, mean, sd = np.linspace(lo, hi, size), y.mean(), y.std() or 1.0
         z, gap, best = (y - mean) / sd, np.subtract.outer(x, x) ** 2, None
         for length in (hi - lo or 1.0) * 2.0 ** -np.arange(1, 9):

@@ -82,3 +82,22 @@ def test_a_strong_penalty_gives_the_cubic():
     t, c = C.smoothing_spline(x, y, 0.999 * ((y - cubic) ** 2).sum())
     starts, rows = C._basis(x, t)
     assert np.abs((rows * c[starts[:, None] + np.arange(4)]).sum(axis=1) - cubic).max() < 0.15
+
+
+def test_gpr_takes_every_point(spark):
+    n = 450
+    x, y = np.arange(n) ** 1.2, np.repeat(noisy(7, n // 2), 2)
+    curves = spark.createDataFrame([("c", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "curve_id string, seq long, x double, y double")
+    got = C.resample_gpr(curves).orderBy("k").toPandas()
+    z, gap = (y - y.mean()) / y.std(), (x[:, None] - x[None, :]) ** 2
+    best = []
+    for length in (x[-1] - x[0]) * 2.0 ** -np.arange(1, 9):
+        for noise in (0.01, 0.1, 0.5, 1.0):
+            values, vectors = np.linalg.eigh(np.exp(-gap / (2 * length**2)) + (noise + 1e-9) * np.eye(n))
+            w = vectors.T @ z
+            best.append((-0.5 * (w * w / values).sum() - 0.5 * np.log(values).sum(), length, noise, vectors, values))
+    _, length, noise, vectors, values = max(best, key=lambda b: b[0])
+    grid = np.linspace(x[0], x[-1], 2 * n)
+    cross = np.exp(-((grid[:, None] - x[None, :]) ** 2) / (2 * length**2)) @ vectors
+    assert np.allclose(got.y, cross @ (vectors.T @ z / values) * y.std() + y.mean(), atol=1e-6)
+    assert np.allclose(got.y_std, np.sqrt(1 + noise - (cross**2 / values).sum(axis=1)) * y.std(), atol=1e-6)
