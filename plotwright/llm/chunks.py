@@ -3,7 +3,8 @@
 The gear hash of a place is the sum of a table's values for the last bytes, each doubled once for every byte
 since; its low WINDOW bits depend on the last WINDOW bytes only. A chunk ends where these bits are higher than
 at the SIDE places before and not lower than at the SIDE places after. So an end depends on the bytes around it
-alone, and ends shift with the text when something is inserted. Chunks are compared by 128-bit digests over all documents.
+alone, and ends shift with the text when something is inserted. In a run of a period up to SIDE no hash is
+higher than all before, so a run is cut at whole periods from its smallest rotation on. Chunks are compared by 128-bit digests over all documents.
 The first occurrence by (doc_id, position) stays; consecutive later chunks make a repeated passage. What a
 passage shares beyond its first and last whole chunk is at most a chunk's length at each end; the words of
 the whole chunks decide.
@@ -27,6 +28,10 @@ WINDOW = 16
 #: A chunk ends at the highest hash of this many bytes to both sides; a chunk has about twice as many.
 SIDE = 28
 MOST = 256
+#: Bytes from which text of a period up to SIDE is a run: a passage of over 50 words has more.
+RUN = 96
+#: Words of a run's chunks before one may count as repeating another of the same run.
+RUN_WORDS = 51
 #: Words in a passage's whole chunks from which it counts as repeated: a passage of over 50 words keeps about 30 of them.
 MIN_WORDS = 20
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -42,8 +47,71 @@ def _highest(h: np.ndarray, width: int) -> np.ndarray:
     return np.maximum(h[: len(h) - (width - by)], h[width - by :]) if width > by else h
 
 
+def _blocks(raw: np.ndarray) -> dict[int, np.ndarray]:
+    """By period up to SIDE, starts of aligned blocks of 32 bytes that equal those a period before. Each run of RUN bytes has one."""
+    out = {}
+    for p in range(1, min(SIDE, len(raw) - 1) + 1):
+        same = raw[p:] == raw[:-p]
+        whole = np.flatnonzero((same[: len(same) // 32 * 32].view(np.uint64) == 0x0101010101010101).reshape(-1, 4).all(axis=1))
+        if len(whole):
+            out[p] = whole * 32 + p
+    return out
+
+
+def _runs(raw: np.ndarray, blocks: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+    """The runs ``(start, stop, period)`` of RUN bytes or more with their least periods, in order and disjoint."""
+    found: list[tuple[int, int, int]] = []
+    for p, starts in sorted(blocks.items()):
+        breaks = np.concatenate([[p - 1], np.flatnonzero(raw[p:] != raw[:-p]) + p, [len(raw)]])
+        at = np.unique(np.searchsorted(breaks, starts))
+        for a, b in zip((breaks[at - 1] + 1 - p).tolist(), breaks[at].tolist()):
+            if b - a >= RUN and not any(c <= a and b <= d for c, d, _ in found):
+                found.append((a, b, p))
+    out, last = [], 0
+    for a, b, p in sorted(found):
+        if b - max(a, last) >= RUN:
+            out.append((max(a, last), b, p))
+            last = b
+    return out
+
+
+def _run_cuts(text: bytes, run: tuple[int, int, int]) -> tuple[list[int], int]:
+    """Places in a run that bound its chunks, and how many chunks hold RUN_WORDS words: all chunks have the same bytes."""
+    a, b, p = run
+    unit, stride = text[a : a + p], p * -(-(SIDE + 1) // p)
+    first = a + min(range(p), key=lambda r: unit[r:] + unit[:r])
+    words = len((text[first : first + p] * 2).split()) - len(text[first : first + p].split()) if unit.strip() else 0
+    each = words * (stride // p)
+    return list(range(first, b + 1, stride)), -(-RUN_WORDS // each) if each else 1
+
+
 def ends(text: bytes) -> np.ndarray:
-    """Ends of the chunks, the text's own last. Chunks have over SIDE and at most MOST bytes; the last one may have fewer."""
+    """Ends of the chunks, the text's own last. Outside of runs, chunks have over SIDE bytes, but for the last and those beside a run; none has over MOST."""
+    return _cut(text, _blocks(np.frombuffer(text, np.uint8)))[0]
+
+
+def _cut(text: bytes, blocks: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, int]]:
+    """The ends, and the number in its run of each chunk of a run but the first, by the chunk's end."""
+    natural, numbers = _natural(text), {}
+    if blocks:
+        for run in _runs(np.frombuffer(text, np.uint8), blocks):
+            cuts, cycle = _run_cuts(text, run)
+            natural = np.union1d(natural[(natural < cuts[0]) | (natural > cuts[-1])], cuts)
+            # a run's chunks are alike: their numbers keep a short run from repeating itself
+            numbers |= {e: k % cycle for k, e in enumerate(cuts[1:])}
+    out, last = [], 0
+    for e in np.append(natural, len(text)).astype(np.int64).tolist():
+        while e - last > MOST:
+            last += MOST
+            out.append(last)
+        if e > last:
+            out.append(e)
+            last = e
+    return np.array(out, np.int64), numbers
+
+
+def _natural(text: bytes) -> np.ndarray:
+    """Places where the hash is higher than around."""
     raw, found, held = np.frombuffer(text, np.uint8), [], WINDOW - 1 + SIDE
     for at in range(0, len(raw), _CHUNK):
         start = max(0, at - held)
@@ -58,15 +126,7 @@ def ends(text: bytes) -> np.ndarray:
         middle = h[SIDE : len(h) - SIDE]
         place = np.flatnonzero((middle > before[: len(middle)]) & (middle >= after[SIDE + 1 : SIDE + 1 + len(middle)])) + start + WINDOW + SIDE
         found.append(place[(place > at) & (place <= at + _CHUNK)])
-    out, last = [], 0
-    for e in np.concatenate([*found, [len(raw)]]).astype(np.int64).tolist():
-        while e - last > MOST:
-            last += MOST
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
-    return np.array(out, np.int64)
+    return np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -77,14 +137,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part, found in slices(batches, "text"):
-            cuts = [ends(x) for x in found]
+            # the texts are searched for runs together, as most have none
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            runs: list[dict[int, np.ndarray]] = [{} for _ in found]
+            for p, at in _blocks(np.frombuffer(b"".join(found), np.uint8)).items():
+                of = np.searchsorted(bounds, at, "right") - 1
+                inside = (at - p >= bounds[of]) & (at + 32 <= bounds[of + 1])
+                for i in np.unique(of[inside]).tolist():
+                    runs[i][p] = at[inside & (of == i)] - bounds[i]
+            cut = [_cut(x, b) for x, b in zip(found, runs)]
+            cuts = [c for c, _ in cut]
             counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
             ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(cuts)), counts)))
             keys = np.repeat(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64), counts)
             begin = [np.concatenate([[0], c[:-1]]) if len(c) else c for c in cuts]
             hashes, words = [], []
-            for x, a, b in zip(found, begin, cuts):
-                hashes += [digest(x[i:j]) for i, j in zip(a.tolist(), b.tolist())]
+            for x, a, (b, numbers) in zip(found, begin, cut):
+                hashes += [digest(x[i:j], numbers.get(j, 0)) for i, j in zip(a.tolist(), b.tolist())]
                 raw = np.frombuffer(x, np.uint8)
                 blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
                 final = ~blank & np.append(blank[1:], True) if len(raw) else blank

@@ -503,6 +503,35 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert chunks.repeated_passages(frame.select("doc_id", "text").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["then ", "a ", "one two three ", "ab\n", "four more words here\n"])
+def test_repeated_runs_of_a_short_period_are_found(spark, unit):
+    passage = (unit * (60 // len(unit.split()))).strip()
+    rows = []
+    for i, before in enumerate([40, 43, 57, 91]):  # the run starts at other places of the texts
+        rows.append((i, f"{prose(i, before)} {passage} {prose(100 + i, 40)}"))
+    rows += [(10, prose(50, 90)), (11, "solo " * 60 + prose(51, 40)), (12, None)]
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {x.doc_id: x for x in found}
+    assert set(hit) == {1, 2, 3} and all(0 in hit[i].first_doc_ids for i in hit)
+    for i, x in hit.items():
+        text = rows[i][1]
+        assert text.index(passage) - len(unit) <= x.start < x.end <= text.index(passage) + len(passage) + len(unit)
+        assert x.words >= 0.6 * len(passage.split())
+
+
+def test_runs_are_the_same_alone_and_among_others(monkeypatch):
+    r = random.Random(3)
+    for _ in range(40):
+        unit = "".join(r.choice("ab ") for _ in range(r.randrange(1, 29)))
+        text = (prose(r.random(), 20) + unit * r.randrange(2, 60) + prose(r.random(), 20)).encode()
+        whole = chunks.ends(text)
+        assert whole[-1] == len(text) and np.diff(whole, prepend=0).min() > 0 and np.diff(whole, prepend=0).max() <= chunks.MOST
+        shifted = np.frombuffer(b"x" * r.randrange(1, 40) + text, np.uint8)
+        lead = len(shifted) - len(text)
+        blocks = {p: at[at - p >= lead] - lead for p, at in chunks._blocks(shifted).items() if (at - p >= lead).any()}
+        assert np.array_equal(chunks._cut(text, blocks)[0], whole)
+
+
 # top-k
 
 
