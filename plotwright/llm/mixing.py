@@ -26,7 +26,7 @@ REPEATS = 3.0
 SEED = 20
 #: Bits of a key, and those of one round.
 KEY_BITS, ROUND_BITS = 52, 10
-#: Sources whose sizes the driver holds; more are refused.
+#: Sources whose sizes the driver holds; targets of more are found in the cluster.
 MOST_SOURCES = 200_000
 
 
@@ -70,6 +70,37 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def targets_table(sums: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
+    """``sums(source, n)`` with ``target``, by the rule of ``targets``, for any number of sources; the driver holds sums by weight only."""
+    # numbers in the order of code points: ranges of sources, each counted on its own
+    order = F.struct(F.col("source").isNull().alias("last"), F.col("source").cast("binary").alias("bytes"))
+    held = scratch.save(sums.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o").select("source", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "sizes")
+    first = F.col("part").cast("long") * (1 << 33)
+    counts = sorted((r.part, r.n) for r in held.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before, seen = [], 0
+    for part, n in counts:
+        before.append((part, seen))
+        seen += n
+    starts = F.broadcast(held.sparkSession.createDataFrame(before or [(0, 0)], "part int, before long"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("at") - first + F.col("before")) % len(weights) + 1).cast("int"))
+    held = scratch.save(held.join(starts, "part").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), weight.alias("weight")), "weights")
+    # a source is full once the share of a unit of weight is above repeats * n / weight; the share only rises
+    ratio, share = repeats * F.col("n") / F.col("weight"), None
+    total = float(held.agg(F.sum("n")).first()[0] or 0)
+    while True:
+        full = F.lit(False) if share is None else ratio < share
+        sums_ = held.agg(F.sum(F.when(full, F.col("n"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        if not sums_.free:
+            share = float("inf")
+            break
+        new = (total - repeats * (sums_.full or 0)) / sums_.free
+        if share is not None and new <= share:
+            break
+        share = new
+    target = F.when(ratio < share, repeats * F.col("n")).otherwise(F.col("weight") * share)
+    return held.select("source", "n", target.alias("target"))
+
+
 def mix_plan(rows: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
     """``(source, source_size, target, epochs, last_key)`` of ``rows(source, size, key)``.
 
@@ -77,16 +108,16 @@ def mix_plan(rows: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEI
     of a source (repeated rows) are taken together.
     """
     spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r.source: r.n for r in sums}
-    wanted = targets(sizes, weights, repeats)
-    plan = []
-    for s, t in wanted.items():
-        epochs = int(min(t // sizes[s], repeats)) if sizes[s] else 0
-        plan.append((s, sizes[s], t, epochs, t - epochs * sizes[s]))
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, epochs int, rest double")
+    sums = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("n")), "sums")
+    if sums.count() <= MOST_SOURCES:
+        sizes = {r.source: r.n for r in sums.collect()}
+        plan = [(s, sizes[s], t) for s, t in targets(sizes, weights, repeats).items()]
+        plan = spark.createDataFrame(plan, "source string, n long, target double")
+    else:
+        plan = targets_table(sums, scratch, weights, repeats)
+    epochs = F.when(F.col("n") > 0, F.least(F.floor(F.col("target") / F.col("n")), F.lit(int(repeats)))).otherwise(0).cast("int")
+    plan = plan.select("source", F.col("n").alias("source_size"), "target", epochs.alias("epochs"))
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # rest: what is to come from the range of keys that is still open; at: that range's number
     open_ = plan.select("source", "rest", F.lit(0).cast("long").alias("at"))
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

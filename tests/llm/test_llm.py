@@ -276,6 +276,24 @@ def test_targets_and_mix(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_targets_in_the_cluster_equal_those_of_the_driver(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{r.randrange(10**6)}": r.choice([0, 1, 10, 100, 5000, r.randrange(1, 10**5)]) for _ in range(200)} | {None: 40, "\u00e9": 7, "\U0001f389": 9, "\ufffd": 3}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(3)
+    got = {x.source: x.target for x in mixing.targets_table(frame, Scratch(spark)).collect()}
+    want = mixing.targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_many_sources_are_mixed_as_few(spark, monkeypatch):
+    rows = docs(spark, [(i, prose(i, 5 + i % 7), f"s{i % 13}") for i in range(200)])
+    ask = lambda: sorted((x.doc_id, x.copies, round(x.target, 6)) for x in mixing.mix(rows).collect())
+    few = ask()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    assert ask() == few
+
+
 def test_quality_scales_the_chance(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id")).alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"))
     got = mixing.mix(rows, weights=(1.0, 1.0), quality="w").where("source = 'a' and copies > 0").groupBy("w").count().collect()
