@@ -154,10 +154,14 @@ class WordEncoder:
     """Ids by the tokenizers library, asked once for each distinct word while it stays in a cache.
 
     The file's pre-tokenizer drops white space and nothing joins across it, so a text's ids are those of its
-    parts between ASCII white space. ASCII upper case is lowered before, as the file's normalizer does; and a
-    full stop or comma after an ASCII letter is always a piece of its own or begins one.
+    parts between ASCII white space. ASCII upper case is lowered before, as the file's normalizer does, but for
+    letters that a combining mark may follow: the normalizer composes first, and some marks compose with small
+    letters only. A full stop or comma after an ASCII letter is always a piece of its own or begins one.
     """
 
+    #: A capital before a character from U+0300 on; those below are never marks.
+    marked = re.compile(rb"[A-Z](?=[\xcc-\xff])")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task already
         from tokenizers import Tokenizer, pre_tokenizers
@@ -197,6 +201,17 @@ class WordEncoder:
         flat = np.concatenate([*found, np.zeros(0, np.int32)])
         return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
 
+    def lowered(self, text: bytes) -> bytes:
+        if b"<|" in text:  # special tokens are found before lowering
+            return text
+        out = text.lower()
+        if out.isascii() or not self.marked.search(text):
+            return out
+        out = bytearray(out)
+        for m in self.marked.finditer(text):
+            out[m.start()] = text[m.start()]
+        return bytes(out)
+
     def library_ids(self, texts: list[bytes]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
@@ -216,7 +231,7 @@ class WordEncoder:
             return [np.array(x, np.int64) for x in self.library_ids(texts)]
         cache = self.cache
         cache.shrink()
-        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.binary())  # special tokens are found before lowering
+        lowered = pa.array(list(map(self.lowered, texts)), pa.binary())
         split = pc.ascii_split_whitespace(lowered.view(pa.string()))
         counts = np.diff(split.offsets.to_numpy())
         words = split.flatten().dictionary_encode()

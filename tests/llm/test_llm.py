@@ -379,6 +379,26 @@ def test_stored_ids_equal_the_library(spark, monkeypatch):
     assert huffman.read(spark, empty).count() == 0
 
 
+def test_marks_after_capitals_are_composed_before_lowering():
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123)]]
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.combining(c) or any(unicodedata.normalize("NFC", a + c) != a + c for a in "AaHhKt")]
+    r = random.Random(3)
+    texts = [" ".join(a + c + r.choice(["", "x", ".", r.choice(marks)]) for a in letters) for c in marks]
+    texts += [" ".join(r.choice(letters) + c for c in every[i : i + 5000]) for i in range(0, len(every), 5000)]
+    library, encoder = Tokenizer.from_file(path), huffman.WordEncoder(path)
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        for t, ids in zip(part, encoder.encode([t.encode() for t in part])):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 # bpe
 
 
