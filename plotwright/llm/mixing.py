@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, extended, session, slices, table
+from .common import Scratch, extended, session, slices, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3.0
@@ -102,10 +102,10 @@ def targets_table(sums: DataFrame, scratch: Scratch, weights: tuple[float, ...]
 
 
 def mix_plan(rows: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
-    """``(source, source_size, target, epochs, last_key)`` of ``rows(source, size, key)``.
+    """``(source, source_size, target, epochs, last_key, tied_key, tied_rows)`` of ``rows(source, size, key)``.
 
-    A row is taken ``epochs`` times, and once more if its key isn't above ``last_key``. Rows with equal keys
-    of a source (repeated rows) are taken together.
+    A row is taken ``epochs`` times, and once more if its key isn't above ``last_key``. ``tied_rows`` of the rows
+    with the key ``tied_key`` (repeated rows, of which the budget takes a part) are taken once more as well.
     """
     spark = rows.sparkSession
     sums = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("n")), "sums")
@@ -131,49 +131,85 @@ def mix_plan(rows: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEI
         last = Window.partitionBy("source")
         bins = bins.withColumn("end", F.max("bin").over(last)).withColumn("hit", (F.col("before") <= F.col("rest")) & ((F.col("before") + F.col("n") > F.col("rest")) | (F.col("bin") == F.col("end"))))
         open_ = scratch.save(bins.where("hit").groupBy("source").agg(F.min("bin").alias("at"), F.min_by("before", "bin").alias("before"), F.first("rest").alias("rest")).select("source", (F.col("rest") - F.col("before")).alias("rest"), "at"), "range")
-    inside = rows.join(open_, rows.source.eqNullSafe(open_.source)).where(F.shiftright("key", left) == F.col("at")).groupBy(rows.source, "key").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first("at").alias("at"))
+    inside = rows.join(open_, rows.source.eqNullSafe(open_.source)).where(F.shiftright("key", left) == F.col("at")).groupBy(rows.source, "key").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("rest").alias("rest"), F.first("at").alias("at"))
     upto = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    taken = inside.where(2 * F.col("before") + F.col("n") <= 2 * F.col("rest")).groupBy("source").agg(F.max("key").alias("key"))
+    # how many of a key's rows bring the sum nearest; rows of one key are repeated rows and have one size
+    room = F.col("rest") - F.col("before")
+    fit = F.when(F.col("n") > 0, F.floor(room * F.col("rows") / F.col("n") + 0.5)).when(room >= 0, F.col("rows")).otherwise(0)
+    inside = inside.withColumn("fit", F.least(F.greatest(fit, F.lit(0)), F.col("rows")))
+    whole, part = F.col("fit") == F.col("rows"), (F.col("fit") > 0) & (F.col("fit") < F.col("rows"))
+    taken = inside.groupBy("source").agg(F.max(F.when(whole, F.col("key"))).alias("key"), F.max(F.when(part, F.struct(F.col("key").alias("tied_key"), F.col("fit").alias("tied_rows")))).alias("tied"))
     floor = open_.select(F.col("source").alias("s"), (F.shiftleft("at", left) - 1).alias("floor"))
-    ends = floor.join(taken, floor.s.eqNullSafe(taken.source), "left").select("s", F.coalesce("key", "floor").alias("last_key"))
+    ends = floor.join(taken, floor.s.eqNullSafe(taken.source), "left").select("s", F.coalesce("key", "floor").alias("last_key"), "tied.tied_key", "tied.tied_rows")
     out = plan.join(ends, plan.source.eqNullSafe(ends.s), "left")
-    last_key = F.when(F.col("rest") > 0, F.coalesce("last_key", F.lit(-1))).otherwise(-1)
-    return scratch.save(out.select("source", "source_size", "target", "epochs", last_key.cast("long").alias("last_key")), "plan")
+    open_rest = F.col("rest") > 0
+    last_key = F.when(open_rest, F.coalesce("last_key", F.lit(-1))).otherwise(-1)
+    tied = [F.when(open_rest, F.col(c)).cast("long").alias(c) for c in ("tied_key", "tied_rows")]
+    return scratch.save(out.select("source", "source_size", "target", "epochs", last_key.cast("long").alias("last_key"), *tied), "plan")
 
 
 NEW = ("size", "source_size", "target", "copies", "taken")
 
 
-def _keyed(docs: DataFrame, quality: str | None, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, quality: str | None, labels: DataFrame | None, seed: int) -> DataFrame:
     weight = F.coalesce(F.col(quality).cast("double"), F.lit(1.0)) if quality else F.col("__pw_quality")
-    return _measured(docs).withColumn("__pw_key", exponential_key(seed, weight, F.col("doc_id"), F.xxhash64("text")))
-
-
-def _decided(keyed: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "__pw_source")
-    out = keyed.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__pw_source")), "left")
-    copies = F.col("epochs") + (F.col("__pw_key") <= F.col("last_key")).cast("int")
-    return out.select(*[keyed[c] for c in names if c not in NEW], F.col("__pw_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__pw_size")).alias("taken"))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, quality: str | None = None, seed: int = SEED, with_text: bool = True) -> DataFrame:
+    out = _measured(docs)
+    if labels is not None:
+        out = out.join(labels, F.col("doc_id") == F.col("__pw_id"), "left")
+        weight = weight * F.when(F.col("__pw_label") == 0, 0.5).otherwise(1.0)
+    return out.withColumn("__pw_key", exponential_key(seed, weight, F.col("doc_id"), F.xxhash64("text")))
+
+
+def _ranked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written ``rows`` with ``__pw_rank``, their number from 1 in their source; ranks are counted by task, so that no source goes to one task."""
+    part = F.col("__pw_row").bitwiseAND(F.lit(-1 << 33))
+    held = scratch.save(rows.withColumn("__pw_row", F.monotonically_increasing_id()), "tied")
+    counts = held.groupBy("__pw_source", part.alias("__pw_part")).agg(F.count("*").alias("__pw_n"))
+    ahead = Window.partitionBy("__pw_source").orderBy("__pw_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("__pw_source").alias("__pw_s"), F.col("__pw_part").alias("__pw_p"), F.coalesce(F.sum("__pw_n").over(ahead), F.lit(0)).alias("__pw_start"))
+    inner = F.row_number().over(Window.partitionBy("__pw_source", part).orderBy("__pw_row"))
+    held = held.withColumn("__pw_inner", inner).join(starts, F.col("__pw_source").eqNullSafe(F.col("__pw_s")) & (part == F.col("__pw_p")))
+    return held.withColumn("__pw_rank", F.col("__pw_start") + F.col("__pw_inner"))
+
+
+def _decided(keyed: DataFrame, plan: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    plan = plan.select(*[F.col(c).alias(f"__pw_{c}") for c in plan.columns])
+    rows = keyed.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__pw_source")), "left")
+
+    def taken(rows: DataFrame, more: Column) -> DataFrame:
+        copies, size = F.col("__pw_epochs") + more.cast("int"), F.col("__pw_size")
+        new = [size.alias("size"), F.col("__pw_source_size").alias("source_size"), F.col("__pw_target").alias("target"), copies.alias("copies"), (copies * size).alias("taken")]
+        return rows.select(*[F.col(c) for c in names if c not in NEW], *new)
+
+    whole = F.col("__pw_key") <= F.col("__pw_last_key")
+    if not plan.where("__pw_tied_key is not null").take(1):
+        return taken(rows, whole)
+    tied = F.coalesce(F.col("__pw_key") == F.col("__pw_tied_key"), F.lit(False))
+    return taken(rows.where(~tied), whole).unionByName(taken(_ranked(rows.where(tied), scratch), F.col("__pw_rank") <= F.col("__pw_tied_rows")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, quality: str | None = None, labels: DataFrame | None = None, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; columns of these names are replaced.
 
     ``docs`` has ``doc_id``, ``text`` and ``source``. ``copies`` says how often a document is taken, ``taken``
     the words that makes. A column named by ``quality`` (positive; null counts as 1) replaces the built-in
-    weight. Null and empty texts have size 0. A source without words has target 0. Equal rows are taken alike.
-    An empty table stays empty. Runs over the same rows agree. Without text, only doc_id and source stay of
+    weight; ``labels(doc_id, quality)`` halves the weight of documents with a label 0 (the lowest of several counts).
+    Null and empty texts have size 0. A source without words has target 0. Of equal rows the budget may take a
+    part. An empty table stays empty. Runs over the same rows agree. Without text, only doc_id and source stay of
     ``docs``, and it is read once.
     """
     scratch = Scratch(docs.sparkSession)
     names = [c for c in docs.columns if c not in NEW or c == quality]
+    if labels is not None:
+        labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__pw_id")).agg(F.min("quality").alias("__pw_label"))
+        labels = small(scratch.save(labels, "labels"), 24)
     used = docs.select(*dict.fromkeys(["doc_id", "text", "source", *([quality] if quality else [])]))
-    small = scratch.save(_keyed(used, quality, seed).select("doc_id", F.col("source").cast("string").alias("source"), "__pw_size", "__pw_key"), "keys")
-    plan = mix_plan(small.select("source", F.col("__pw_size").alias("size"), F.col("__pw_key").alias("key")), scratch, weights, repeats)
+    keys = scratch.save(_keyed(used, quality, labels, seed).select("doc_id", F.col("source").cast("string").alias("source"), "__pw_size", "__pw_key"), "keys")
+    plan = mix_plan(keys.select("source", F.col("__pw_size").alias("size"), F.col("__pw_key").alias("key")), scratch, weights, repeats)
     if not with_text:
-        return _decided(small, plan, ["doc_id", "source"])
-    return _decided(_keyed(docs.select(*names), quality, seed), plan, names)
+        return _decided(keys, plan, ["doc_id", "source"], scratch)
+    return _decided(_keyed(docs.select(*names), quality, labels, seed), plan, names, scratch)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -182,6 +218,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is taken for the weights 5, 2, 1."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
+    """How often each document is taken for the weights 5, 2, 1; documents labelled as poor come half as likely."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), labels=labels, with_text=False)
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")

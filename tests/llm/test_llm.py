@@ -294,6 +294,47 @@ def test_many_sources_are_mixed_as_few(spark, monkeypatch):
     assert ask() == few
 
 
+def test_a_part_of_equal_rows_is_taken(spark):
+    equal = [(1, "w " * 10, "a")] * 50 + [(2, "v " * 10, None)] * 30 + [(i, "x " * (i % 9), "b") for i in range(100, 130)]
+    frame = docs(spark, equal).withColumns({"epochs": F.lit("own"), "last_key": F.lit(2), "tied_key": F.lit(None)}).repartition(5)
+    found = mixing.mix(frame).collect()
+    assert len(found) == len(equal) and found[0].epochs == "own"
+    for s in ("a", None):
+        mine = [x for x in found if x.source == s]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= 5
+    assert {x.copies for x in found if x.source == "a"} == {1, 2}
+    again = mixing.mix(frame.repartition(3, "source"), with_text=False).collect()
+    assert sorted((x.doc_id, x.copies) for x in again) == sorted((x.doc_id, x.copies) for x in found)
+    assert mixing.mixed(frame).count() == sum(x.copies for x in found)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_sampling_equals_sorting_by_exponential_keys(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, prose(i, r.randrange(1, 40)), r.choice(["a", "b", "c", None])) for i in range(500)]
+    labels = {i: r.randrange(2) for i in range(0, 500, 3)}
+    frame = docs(spark, [*rows, (600, None, "a"), (601, "", "b"), (602, "long " * 60_000, "c")])
+    given = spark.createDataFrame([*labels.items(), (3, 1), (None, 0)], "doc_id long, quality int")
+    found = {x.doc_id: x for x in mixing.mix(frame, labels=given, seed=seed).collect()}
+    hashed = {x.doc_id: x.h for x in frame.select("doc_id", F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("h")).collect()}
+
+    def key(x):  # -ln(u) / weight
+        u = (((hashed[x.doc_id] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+        words = (x.text or "").split()
+        mean = sum(map(len, words)) / max(len(words), 1)
+        return -np.log(u) / ((1.0 if 2 <= mean <= 15 else 0.5) * (0.5 if labels.get(x.doc_id) == 0 else 1.0))
+
+    for s in ("a", "b", "c", None):
+        mine = sorted((x for x in found.values() if x.source == s), key=key)
+        total, target = sum(x.size for x in mine), mine[0].target
+        epochs = min(int(target // total), 3)
+        rest, seen = target - epochs * total, 0
+        for x in mine:
+            more = rest > 0 and seen + x.size / 2 <= rest
+            assert x.copies == epochs + more, (s, x.doc_id)
+            seen += x.size
+
+
 def test_quality_scales_the_chance(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id")).alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"))
     got = mixing.mix(rows, weights=(1.0, 1.0), quality="w").where("source = 'a' and copies > 0").groupBy("w").count().collect()
