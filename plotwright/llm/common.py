@@ -31,14 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Written intermediate tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    A written table cuts the lineage and survives the loss of executors. Where the setting is unset, as in
-    tests, a temporary folder serves.
+    A written table cuts the lineage and survives the loss of executors. Where the setting is unset a temporary
+    folder serves a local master, as in tests; on a cluster, whose machines don't share one, that is refused.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="plotwright-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/plotwright/{uuid.uuid4().hex}"
