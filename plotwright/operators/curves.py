@@ -54,7 +54,9 @@ def smooth_savgol(curves: DataFrame, window: int = 11) -> DataFrame:
     A curve of fewer rows takes the largest odd window that it fills; under 5 rows it stays as it is.
     """
     w, n = Window.partitionBy("curve_id").orderBy("seq"), F.count("*").over(_all())
-    rows = curves.withColumns({"__i": F.row_number().over(w) - 1, "__n": n})
+    reach = range(1 - window, window)
+    near = {f"__y{k}": F.lag("y", -k).over(w) if k < 0 else F.lead("y", k).over(w) for k in reach if k}
+    rows = curves.withColumns({"__i": F.row_number().over(w) - 1, "__n": n, **near})
     out = F.col("y")
     for size in range(5, window + 1, 2):
         hat, half = _hat(size), size // 2
@@ -63,17 +65,22 @@ def smooth_savgol(curves: DataFrame, window: int = 11) -> DataFrame:
         place = F.least(F.greatest(F.col("__i") - half, F.lit(0)), F.col("__n") - size)
         value = F.lit(None).cast("double")
         for at in range(size):  # at: this row's place in its window
-            terms = [F.lag("y", at - k).over(w) if k < at else F.lead("y", k - at).over(w) if k > at else F.col("y") for k in range(size)]
+            terms = [F.col(f"__y{k - at}") if k != at else F.col("y") for k in range(size)]
             value = F.when(F.col("__i") - place == at, sum((F.lit(float(h)) * t for h, t in zip(hat[at], terms)), F.lit(0.0))).otherwise(value)
         out = F.when(fits, value).otherwise(out)
-    return rows.withColumn("smooth", out).drop("__i", "__n")
+    return rows.withColumn("smooth", out).drop("__i", "__n", *near)
 
 
-def clean_savgol(curves: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Rows whose distance from the smoothed curve is at most ``sigma`` population deviations of these distances."""
+def flag_savgol(curves: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """``curves`` with ``smooth`` and ``kept``: whether the distance from the smoothed curve is at most ``sigma`` population deviations of these distances."""
     rows = smooth_savgol(curves).withColumn("__r", F.abs(F.col("y") - F.col("smooth")))
-    rows = rows.withColumn("__s", F.stddev_pop("__r").over(_all())).withColumn("__n", F.count("*").over(_all()))
-    return rows.where((F.col("__n") < 5) | (F.col("__s") == 0) | (F.col("__r") <= sigma * F.col("__s"))).drop("__r", "__s", "__n", "smooth")
+    rows = rows.withColumns({"__s": F.stddev_pop("__r").over(_all()), "__n": F.count("*").over(_all())})
+    return rows.withColumn("kept", (F.col("__n") < 5) | (F.col("__s") == 0) | (F.col("__r") <= sigma * F.col("__s"))).drop("__r", "__s", "__n")
+
+
+def clean_savgol(curves: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """The rows that ``flag_savgol`` keeps."""
+    return flag_savgol(curves, sigma).where("kept").drop("smooth", "kept")
 
 
 def _segments(curves: DataFrame, least: int = 500) -> DataFrame:

@@ -175,9 +175,7 @@ select event_id, round(smooth, 6) as smooth, abs(y - smooth) <= 3.0 * sd as kept
 
 @query(_savgol_sql())
 def clean_savgol(spark, sf_dir):
-    rows = C.smooth_savgol(curves(spark, sf_dir))
-    kept = C.clean_savgol(curves(spark, sf_dir)).select("event_id", F.lit(True).alias("kept"))
-    return rows.join(kept, "event_id", "left").select("event_id", r6("smooth").alias("smooth"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    return C.flag_savgol(curves(spark, sf_dir)).select("event_id", r6("smooth").alias("smooth"), "kept")
 
 
 @query(f"with {DAILY}, {_grid('daily')} select curve_id, k, round(gx, 6) as x, round(case when x1 is null then y else y + (y1 - y) * (gx - x) / (x1 - x) end, 6) as y from f")
@@ -324,9 +322,9 @@ def nine_grid(spark, sf_dir):
     return points(spark, sf_dir).select("id", (third("x", 500, 700) + 3 * third("y", 300, 500)).alias("region"))
 
 
-@query("""select conv_id, count(*) as texts, max(turn) as last_turn, string_agg(trim(regexp_replace(left(text, 20), '\\s+', ' ', 'g')), ' ' order by turn, role, text) as label from conversations where turn between 0 and 3 group by conv_id""")
+@query("""select conv_id, count(*) as texts, max(turn) as last_turn, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' order by turn, role, text) as label from conversations group by conv_id""")
 def label_join(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn between 0 and 3").select("conv_id", "turn", "role", "text", S.normalize_label(F.substring("text", 1, 20)).alias("t"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", S.normalize_label(F.col("text")).alias("t"))
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "t")))
     return rows.groupBy("conv_id").agg(F.count("*").alias("texts"), F.max("turn").alias("last_turn"), F.array_join(F.transform(parts, lambda s: s.getField("t")), " ").alias("label"))
 
