@@ -9,39 +9,31 @@ from plotwright.plans import queries as Q
 
 
 def brute_trajectories(rows, groups=3, min_inliers=6, residual=10.0, assign=22.0):
-    """``{id: label}`` of one image's ``(id, x, y)``, all pairs of free points tried in plain loops."""
-    xs = [x for _, x, _ in rows]
-    least, free, lines = max(80.0, 0.3 * (max(xs) - min(xs))), set(range(len(rows))), []
-    dist = lambda s, b, k: abs(s * rows[k][1] - rows[k][2] + b) / (s * s + 1) ** 0.5
-    while len(lines) < groups:
-        best = None
-        for i in sorted(free):
-            for j in sorted(free):
-                if i >= j or abs(rows[j][1] - rows[i][1]) < least:
-                    continue
-                s = (rows[j][2] - rows[i][2]) / (rows[j][1] - rows[i][1])
-                b = rows[i][2] - s * rows[i][1]
-                near = [k for k in sorted(free) if dist(s, b, k) <= residual]
-                score = (len(near), -sum(dist(s, b, k) for k in near))
-                if len(near) >= min_inliers and (best is None or score > best[0]):
-                    best = (score, near)
-        if best is None:
-            return {}
-        near = best[1]
-        for _ in range(2):
-            s, b = np.polyfit([rows[k][1] for k in near], [rows[k][2] for k in near], 1)
-            again = [k for k in sorted(free) if dist(s, b, k) <= residual]
-            near = again if len({rows[k][1] for k in again}) > 1 else near
-        lines.append((s, b))
-        free -= set(near)
-    middle = sum(xs) / len(xs)
-    lines.sort(key=lambda l: l[0] * middle + l[1])
-    found = {}
-    for k, (id_, _, _) in enumerate(rows):
-        d = [dist(*l, k) for l in lines]
-        if min(d) <= assign:
-            found[id_] = d.index(min(d))
-    return found
+    """``{id: label}`` of one image's ``(id, x, y)`` in plain loops: lines ranked once by all their inliers, points to the nearest of the fitted lines."""
+    rows = sorted(rows)
+    span = max(x for _, x, _ in rows) - min(x for _, x, _ in rows)
+    dist = lambda line, p: abs(line[0] * p[1] + line[1] - p[2]) / (line[0] ** 2 + 1) ** 0.5
+    ranked = []
+    for i, p in enumerate(rows):
+        for q in rows[i + 1 :]:
+            if span > 1 and abs(q[1] - p[1]) >= max(80.0, 0.3 * span):
+                s = (q[2] - p[2]) / (q[1] - p[1])
+                line = (s, p[2] - s * p[1])
+                ranked.append((-sum(dist(line, r) <= residual for r in rows), len(ranked), line))
+    lines, covered = [], set()
+    for n, _, line in sorted(ranked):
+        own = {r[0] for r in rows if dist(line, r) <= residual} - covered
+        if -n >= min_inliers and len(own) >= min_inliers and len(lines) < groups:
+            lines.append(line)
+            covered |= own
+    if len(lines) < groups:
+        return {}
+    nearest = lambda r: min(range(groups), key=lambda g: dist(lines[g], r))
+    for _ in range(2):
+        of = [[r for r in rows if nearest(r) == g and dist(lines[g], r) <= assign] for g in range(groups)]
+        lines = [tuple(np.polyfit([r[1] for r in m], [r[2] for r in m], 1)) if len(m) > 1 else lines[g] for g, m in enumerate(of)]
+    found = {r[0]: nearest(r) for r in rows}
+    return found if len(set(found.values())) == groups else {}
 
 
 def test_trajectories_of_every_image_equal_brute_force(spark, tmp_path):
