@@ -150,6 +150,10 @@ class Coder:
         return np.split(flat, np.cumsum(sizes)[:-1]) if n_docs else []
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids by the tokenizers library, asked once for each distinct word while it stays in a cache.
 
@@ -170,10 +174,12 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+        self.letters = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
         self.chars = {b: ord(c) for c, b in byte_chars().items()}
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)]
+        self.border = special[0] if special else None
         self.lowers = self._plain()
         self.cache = WordCache()
 
@@ -185,14 +191,16 @@ class WordEncoder:
         self.last = np.zeros(self.size, bool)
         self.last[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         one = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        flat, sizes = self.plain_ids([self.spelt(w.encode()) for w in ("the", "\u00fcber\u00ff")])
+        flat, sizes = self.plain_ids(self.spelt(pa.array(["the", "\u00fcber\u00ff"]))[1])
         return one("Ab C,\td.\n\x0b\x0c\rE'S") == one("ab") + one("c") + one(",") + one("d") + one(".") + one("e") + one("'s") and [flat[: sizes[0]].tolist(), flat[sizes[0] :].tolist()] == [one("THE"), one("\u00dcber\u00ff")]
 
-    def spelt(self, word: bytes) -> str | None:
-        """A lower-case word of Latin-1 letters in the model's characters: one piece, which normalisation leaves alone. None for other words."""
-        if word.isalpha() and word.islower():  # ASCII letters
-            return word.decode()
-        return word.decode("latin-1").translate(self.chars) if self.letters.fullmatch(word.decode()) else None
+    def spelt(self, words: pa.Array) -> tuple[pa.Array, list[str], pa.Array]:
+        """Words of small Latin-1 letters (one piece each, which normalisation leaves alone), these in the model's characters, and all other words."""
+        ascii_ = pc.ascii_is_alpha(words)
+        latin = pc.and_(pc.invert(ascii_), pc.match_substring_regex(words, self.letters))
+        plain, marked = words.filter(ascii_), words.filter(latin)
+        spelt = _strings(plain) + [w.encode().decode("latin-1").translate(self.chars) for w in _strings(marked)]
+        return pa.concat_arrays([plain, marked]), spelt, words.filter(pc.invert(pc.or_(ascii_, latin)))
 
     def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of spelt words in a row, and how many each has: only a word's last id bears the mark of a word's end."""
@@ -215,16 +223,38 @@ class WordEncoder:
     def library_ids(self, texts: list[bytes]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def ask(self, words: list[bytes]) -> None:
+    def other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words in a row, and how many each has. A special token stands between words given to it as one text; it is found before anything else is done to a text."""
+        if self.border is None or any("<|" in w for w in words):
+            found = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        name, number = self.border
+        joined = [name.join([*words[i : i + JOINED], ""]) for i in range(0, len(words), JOINED)]
+        found = [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([*found, np.zeros(0, np.int32)])
+        ends = np.flatnonzero(flat == number)
+        return flat[flat != number], np.diff(ends, prepend=-1) - 1
+
+    def ask(self, words: pa.Array) -> None:
         """Learns words from the library: spelt ones by its model alone."""
-        spelt, other = {}, []
-        for w in words:
-            if t := self.spelt(w):
-                spelt[w] = t
-            else:
-                other.append(w)
-        self.cache.add(list(spelt), *self.plain_ids(list(spelt.values())))
-        self.cache.learn(other, self.library_ids(other))
+        plain, spelt, other = self.spelt(words)
+        self.cache.add(_strings(plain), *self.plain_ids(spelt))
+        other = _strings(other)
+        self.cache.add(other, *self.other_ids(other))
+
+    def learn(self, words: pa.Array) -> None:
+        """Learns words; those with a full stop or comma after a letter by their two parts."""
+        tail = pc.match_substring_regex(words, "[A-Za-z][.,]$")
+        tailed = words.filter(tail)
+        heads = pc.binary_slice(tailed.view(pa.binary()), 0, -1).view(pa.string())
+        new = pc.unique(pa.concat_arrays([words.filter(pc.invert(tail)), heads, pa.array([".", ","])]))
+        self.ask(new.filter(pa.array(self.cache.find(_strings(new)) < 0)))
+        if len(tailed):
+            whole = _strings(tailed)
+            parts = np.stack([self.cache.find(_strings(heads)), self.cache.find([w[-1] for w in whole])], axis=1)
+            flat, sizes = self.cache.gather(parts.ravel())
+            self.cache.add(whole, flat, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.lowers:
@@ -235,20 +265,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(lowered.view(pa.string()))
         counts = np.diff(split.offsets.to_numpy())
         words = split.flatten().dictionary_encode()
-        every = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        every = _strings(words.dictionary)
         used = cache.find(every)
-        missing = np.flatnonzero(used < 0).tolist()
-        if missing:
-            new = dict.fromkeys([every[i] for i in missing])
-            tailed = [w for w in new if w.endswith((b".", b",")) and w[-2:-1].isalpha()]
-            for w in tailed:
-                del new[w]
-            parts = [x for w in tailed for x in (w[:-1], w[-1:])]
-            new.update(dict.fromkeys(parts))
-            self.ask([w for w in new if w not in cache.known])
-            flat, sizes = cache.gather(cache.find(parts))
-            cache.add(tailed, flat, sizes.reshape(-1, 2).sum(axis=1))
-            used[missing] = cache.find([every[i] for i in missing])
+        missing = np.flatnonzero(used < 0)
+        if len(missing):
+            self.learn(words.dictionary.take(pa.array(missing)))
+            used[missing] = cache.find([every[i] for i in missing.tolist()])
         used = used[words.indices.to_numpy()]
         cache.use(used)
         flat, sizes = cache.gather(used)
