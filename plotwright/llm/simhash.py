@@ -220,11 +220,18 @@ def _views(keyed: DataFrame, words: int, similarity: float, counts: np.ndarray)
     return keyed.mapInArrow(run, "key string, fp long, views array<long>, size int, score double, rare array<long>")
 
 
+def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)
+
+
 def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs ``(a, b)`` of keys that hold every similar pair of ``views`` whose ends have different roots in ``found(node, root)``.
 
     Two similar sets share a shingle among the first of both, in any one order of all shingles (prefix
-    filter). Their sizes, and what is left of both after the first shared shingle, bound the similarity too.
+    filter). Their sizes bound the similarity too, and what is left of both after the first shared shingle. And of
+    the set whose first part ends earlier in that order, all shingles of that part that the other set has lie in the
+    other's first part, so what both parts share and the rest of one set hold everything shared.
     """
     texts = views.join(found, views.key == found.node, "left").select("key", F.xxhash64("key").alias("id"), F.xxhash64(F.coalesce("root", "key")).alias("root"))
     texts = scratch.save(texts, "roots")
@@ -235,17 +242,22 @@ def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Sc
     rows = rows.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").drop("low", "high")
     rows = scratch.save(rows, "prefixes")
     a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "i")]) for s in "ab")
+    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity))
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    near = (F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b")) & (left + 1e-6 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    pairs = pairs.select("id_a", "id_b").distinct()
+    pairs = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("both"), F.max(left).alias("left"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    rest = [F.col(n) - F.least(F.col(n), F.floor((1 - similarity) * F.col(n) + 1e-6) + 1) for n in ("n_a", "n_b")]
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = pairs.where((F.col("left") >= needed) & (F.col("both") + F.greatest(*rest) >= needed)).select("id_a", "id_b")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(s)), f"id_{s}")
-    return scratch.save(pairs.select("a", "b"), "unlinked")
+    out = scratch.save(pairs.select("a", "b"), "unlinked")
+    scratch.drop(rows)
+    scratch.drop(texts)
+    return out
 
 
-def _similar(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+def _united(found: DataFrame | None, pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Components ``(node, root)`` of ``found`` and of those ``pairs(a, b)`` of keys whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in slices(batches, "text"):
@@ -266,7 +278,12 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float,
     held = keyed.dropDuplicates(["key"]).join(asked, "key", "left_semi").select("key", "text").mapInArrow(sets, "key string, shingles binary")
     held = scratch.save(held, "shingles")
     of = lambda name, bytes_: held.select(F.col("key").alias(name), F.col("shingles").alias(bytes_))
-    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a string, b string")
+    similar = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a string, b string")
+    if found is not None:
+        similar = similar.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    out = connected_components(similar, scratch)
+    scratch.drop(held)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -291,23 +308,25 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     keyed = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
     seen = scratch.save(_views(keyed, words, similarity, _popularity(keyed, words)), "views")
     views = seen.dropDuplicates(["key"])
-    cells = views.select("key", "score", F.posexplode("views").alias("view", "value"))
-    cells = cells.unionByName(views.select("key", "score", F.lit(-1).alias("view"), F.col("fp").alias("value")))
-    middle = F.max(F.struct("score", "key"))
-    ends = cells.groupBy("view", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"), middle.alias("middle"), F.count("*").alias("n")).where("n > 1")
+    text_ = F.struct("key", "size").alias("text")
+    cells = views.select(text_, "score", F.posexplode("views").alias("view", "value"))
+    cells = cells.unionByName(views.select(text_, "score", F.lit(-1).alias("view"), F.col("fp").alias("value")))
+    middle = F.max(F.struct("score", "text"))
+    ends = cells.groupBy("view", "value").agg(F.min("text").alias("low"), F.max("text").alias("high"), middle.alias("middle"), F.count("*").alias("n")).where("n > 1")
     met = cells.drop("score").join(ends, ["view", "value"])
-    met = met.select("key", F.explode(F.array("low", "high", "middle.key")).alias("other")).where("key <> other")
+    met = met.select("text", F.explode(F.array("low", "high", "middle.text")).alias("other")).where(_sizes_fit(F.col("text.size"), F.col("other.size"), similarity))
+    met = met.select("text.key", F.col("other.key").alias("other")).where("key <> other")
     whole = views.groupBy("fp").agg(F.min("key").alias("key"))
     near = links(whole.select("fp"), scratch)
     first, second = whole.select(F.col("fp").alias("a"), F.col("key").alias("ka")), whole.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
     near = near.join(first, "a").join(second, "b").select(F.col("ka").alias("key"), F.col("kb").alias("other"))
     pairs = met.unionByName(near).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    found = connected_components(_similar(pairs, keyed, words, similarity, scratch), scratch)
+    found = _united(None, pairs, keyed, words, similarity, scratch)
     pairs = _unlinked(views, found, similarity, scratch)
+    scratch.drop(seen)
     if pairs.take(1):
-        more = _similar(pairs, keyed, words, similarity, scratch)
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+        found = _united(found, pairs, keyed, words, similarity, scratch)
 
     ids = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"))
     counted = scratch.save(ids.groupBy("doc_id", "key").agg(F.count("*").alias("rows")), "ids")
