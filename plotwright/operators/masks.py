@@ -111,7 +111,7 @@ def component_stats(labelled: DataFrame) -> DataFrame:
     return out.select("*", (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height"))
 
 
-def keep_components(stats: DataFrame, w: int, h: int, min_area: int = 4, min_x_span: int = 3, margin: int = 4, tick_span: int = 3, tick_thickness: int = 4) -> DataFrame:
+def keep_components(stats: DataFrame, w: int | Column, h: int | Column, min_area: int = 4, min_x_span: int = 3, margin: int = 4, tick_span: int = 3, tick_thickness: int = 4) -> DataFrame:
     """Components of w x h masks that aren't frames, grid lines, axis ticks, small or narrow."""
     width, height = F.col("width"), F.col("height")
 
