@@ -31,6 +31,8 @@ OTHER_CLASSES = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\
 #: The same pattern for Latin-1 texts, where the classes are short lists and the standard library's engine is faster.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Words that a worker process holds: fewer than it could, as it shares the executor's memory.
+CACHED_WORDS = 150_000
 #: A longer word is merged exactly with its own heap rather than kept in the cache.
 LONG_WORD = 512
 
@@ -89,7 +91,7 @@ class Codec:
         self.lengths = np.array([len(b) for b in self.table], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
-        self.cache = WordCache()
+        self.cache = WordCache(CACHED_WORDS)
 
     # exact merging
 

@@ -19,7 +19,7 @@ def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches bounded by bytes, so that long texts don't make large batches."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
@@ -99,3 +99,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             held += len(x)
         if start < len(values):
             yield batch.slice(start), values[start:]
+    pa.default_memory_pool().release_unused()  # the process stays for other tasks
