@@ -167,18 +167,21 @@ def _marks(mask: np.ndarray) -> list[tuple]:
     return out
 
 
-def marker_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Candidates of markers in masks ``pixels(image_id, x, y)`` of a known size.
+def marker_candidates(pixels: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+    """Candidates of markers in masks ``pixels(image_id, x, y)`` of a known size, or of masks that end well inside their image.
 
     ``(image_id, id, core, x, y, x0, y0, x1, y1, pixel_count, width, height, area_ratio, fill_ratio, aspect,
     circularity, shape, confidence, warnings)``: whole compact pieces, and spots of other pieces that are deep enough
     (``core``) and not near a candidate before them. Pixels outside the size are left out.
     """
-    pixels = _placed(pixels).where(f"x >= 0 and y >= 0 and x < {width} and y < {height}")
+    pixels = _placed(pixels).where("x >= 0 and y >= 0")
+    if width is not None:
+        pixels = pixels.where(f"x < {width} and y < {height}")
     names = ["core", "x", "y", "x0", "y0", "x1", "y1", "pixel_count", "circularity"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
+        size = (height, width) if width is not None else (int(group["y"].max()) + MARKER_SPAN, int(group["x"].max()) + MARKER_SPAN)
+        mask = np.zeros(size, bool)
         mask[group["y"].to_numpy(), group["x"].to_numpy()] = True
         out = pd.DataFrame(_marks(mask), columns=names)
         out.insert(0, "image_id", group["image_id"].iloc[0])

@@ -67,11 +67,11 @@ def _source(ids: Column) -> Column:
     return F.when(F.size(ids) == 1, F.get(ids, F.lit(0))).otherwise("mixed")
 
 
-def marker_instances(markers: DataFrame, groups: int | None = None, tolerance: float = MARKER_COLUMN, prefer_lines: bool = False) -> DataFrame:
-    """One row a curve of markers ``(image_id, id, x, y, curve_id)``: its markers in order, extent, method, confidence and warnings. Without a number of groups it's inferred."""
-    if groups is None:
-        markers = markers.withColumn("__groups", inferred_groups(F.count("*").over(Window.partitionBy("image_id"))))
-    of = grouped(markers.withColumn("weight", F.lit(1.0)), "__groups" if groups is None else groups, tolerance, prefer_lines)
+def marker_instances(markers: DataFrame, groups: int | str | None = None, tolerance: float = MARKER_COLUMN, prefer_lines: bool = False) -> DataFrame:
+    """One row a curve of markers ``(image_id, id, x, y, curve_id)``: its markers in order, extent, method, confidence and warnings. The number of groups (or their column, by image) is inferred where it's missing."""
+    given = F.col(groups) if isinstance(groups, str) else F.lit(groups)
+    markers = markers.withColumn("__groups", F.coalesce(given.cast("int"), inferred_groups(F.count("*").over(Window.partitionBy("image_id")))))
+    of = grouped(markers.withColumn("weight", F.lit(1.0)), "__groups", tolerance, prefer_lines)
     rows = markers.join(of, ["image_id", "id"])
     out = rows.groupBy("image_id", "label").agg(
         F.array_sort(F.collect_list(F.struct("x", "y", "id"))).alias("points"), F.array_sort(F.collect_set("curve_id")).alias("__of"), F.count("*").alias("marker_count"),
@@ -97,12 +97,12 @@ def line_style(n: Column, long_: Column, short: Column) -> Column:
     return F.when(n == 0, "unknown").when(long_ >= F.greatest(F.lit(1), F.floor(n / 3)), "solid").when((n >= 8) & (short >= 0.6 * n), "dotted").when(n >= 3, "dashed").otherwise("unknown")
 
 
-def line_instances(pieces: DataFrame, groups: int) -> DataFrame:
+def line_instances(pieces: DataFrame, groups: int | str) -> DataFrame:
     """One row a curve of line-like pieces (see ``components.line_components``, with ``curve_id``): its points in order, extent, style, method, confidence and warnings."""
     c = F.col
     rows = pieces.where("class_label = 'line_like'").withColumns({"center_y": (c("y0") + c("y1")) / 2.0, "x": (c("x0") + c("x1")) / 2.0})
     weight = F.greatest(F.lit(1.0), F.when(c("path_length") > 0, c("path_length")).otherwise(c("area")))
-    of = grouped(rows.select("image_id", "id", "x", c("center_y").alias("y"), weight.alias("weight")), groups, LINE_COLUMN, names=("component_x_rank", "", "component_y_kmeans"))
+    of = grouped(rows.select("image_id", "id", "x", c("center_y").alias("y"), weight.alias("weight"), *([groups] if isinstance(groups, str) else [])), groups, LINE_COLUMN, names=("component_x_rank", "", "component_y_kmeans"))
     rows = trimmed(rows.join(of, ["image_id", "id"]), ["image_id", "label"])
     flat = F.when(c("x1") - c("x0") <= 1, F.array(F.struct(c("x0").cast("double").alias("x"), c("center_y").alias("y")))).otherwise(F.array(*[F.struct(c(e).cast("double").alias("x"), c("center_y").alias("y")) for e in ("x0", "x1")]))
     rows = rows.withColumn("__p", F.when(F.size("path") > 0, F.array_sort("path")).otherwise(flat))
