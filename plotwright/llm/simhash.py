@@ -242,17 +242,22 @@ def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Sc
     rows = rows.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").drop("low", "high")
     rows = scratch.save(rows, "prefixes")
     a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "i")]) for s in "ab")
-    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity))
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    pairs = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("both"), F.max(left).alias("left"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity) & (left >= needed))
+    pairs = scratch.save(pairs.select("id_a", "id_b", "n_a", "n_b").distinct(), "candidates")
+    # the first parts of both, in whole
+    asked = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    parts = scratch.save(views.select(F.xxhash64("key").alias("id"), "rare").join(asked, "id", "left_semi"), "parts")
+    for s in "ab":
+        pairs = pairs.join(parts.select(F.col("id").alias(f"id_{s}"), F.col("rare").alias(f"rare_{s}")), f"id_{s}")
     rest = [F.col(n) - F.least(F.col(n), F.floor((1 - similarity) * F.col(n) + 1e-6) + 1) for n in ("n_a", "n_b")]
-    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    pairs = pairs.where((F.col("left") >= needed) & (F.col("both") + F.greatest(*rest) >= needed)).select("id_a", "id_b")
+    pairs = pairs.where(F.size(F.array_intersect("rare_a", "rare_b")) + F.greatest(*rest) >= needed).select("id_a", "id_b")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(s)), f"id_{s}")
     out = scratch.save(pairs.select("a", "b"), "unlinked")
-    scratch.drop(rows)
-    scratch.drop(texts)
+    for table_ in (rows, texts, parts):
+        scratch.drop(table_)
     return out
 
 
@@ -307,7 +312,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
     seen = scratch.save(_views(keyed, words, similarity, _popularity(keyed, words)), "views")
-    views = seen.dropDuplicates(["key"])
+    views = scratch.save(seen.dropDuplicates(["key"]), "texts")
+    scratch.drop(seen)
     text_ = F.struct("key", "size").alias("text")
     cells = views.select(text_, "score", F.posexplode("views").alias("view", "value"))
     cells = cells.unionByName(views.select(text_, "score", F.lit(-1).alias("view"), F.col("fp").alias("value")))
@@ -324,7 +330,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity:
     pairs = scratch.save(pairs, "pairs")
     found = _united(None, pairs, keyed, words, similarity, scratch)
     pairs = _unlinked(views, found, similarity, scratch)
-    scratch.drop(seen)
+    scratch.drop(views)
     if pairs.take(1):
         found = _united(found, pairs, keyed, words, similarity, scratch)
 
