@@ -156,7 +156,7 @@ def prototypes(pixels: DataFrame, plots: DataFrame, exclusions: DataFrame | None
         kept = (share >= rule.share[0]) & (share <= rule.share[1])
         centres, mass, share = centres[kept], mass[kept], share[kept]
         colour = rgb8(np.floor(centres)).astype(int)
-        frame = pd.DataFrame({"curve_id": [f"curve_color_{i}" for i in range(len(mass))], "r": colour[:, 0], "g": colour[:, 1], "b": colour[:, 2], "l": centres[:, 0], "a": centres[:, 1], "b2": centres[:, 2], "area": mass.astype(int), "ratio": share, "confidence": np.clip(share / max(10 * rule.share[0], 1e-9), 0, 1), "source": source})
+        frame = pd.DataFrame({"curve_id": pd.Series([f"curve_color_{i}" for i in range(len(mass))], dtype=object), "r": colour[:, 0], "g": colour[:, 1], "b": colour[:, 2], "l": centres[:, 0], "a": centres[:, 1], "b2": centres[:, 2], "area": mass.astype(int), "ratio": share, "confidence": np.clip(share / max(10 * rule.share[0], 1e-9), 0, 1), "source": pd.Series([source] * len(mass), dtype=object)})
         frame.insert(0, "image_id", group["image_id"].iloc[0])
         return frame
 

@@ -90,9 +90,10 @@ def group(pieces: DataFrame, markers: DataFrame, prototypes: DataFrame) -> tuple
     scenes = I.marker_scenes(markers, pieces).where("grouped").select("image_id")
     spots = markers.join(scenes, "image_id", "left_semi").select("image_id", "curve_id", F.col("id").alias("own_id"), "x", "y").join(protos, "image_id", "left").join(many, "image_id", "left")
     spots = _numbered(spots, "curve_id", "own_id").withColumn("crossing", (F.col("groups") > 1) & (F.col("lines") > F.col("groups"))).na.fill(False, ["crossing"])
-    marked = I.marker_instances(spots.where("not crossing"), "groups").unionByName(I.marker_instances(spots.where("crossing"), "groups", prefer_lines=True))
+    spots = kept(spots, "spots")
+    marked = kept(I.marker_instances(spots.where("not crossing"), "groups").unionByName(I.marker_instances(spots.where("crossing"), "groups", prefer_lines=True)), "marked")
     rest = pieces.join(marked.select("image_id").distinct(), "image_id", "left_anti").join(protos.where("groups > 1"), "image_id").join(many.select("image_id", "lines"), "image_id").where("lines >= groups")
-    return marked, I.line_instances(_numbered(rest, "curve_id", "component"), "groups")
+    return marked, kept(I.line_instances(kept(_numbered(rest, "curve_id", "component"), "rest"), "groups"), "lined")
 
 
 def to_data(points: DataFrame, plots: DataFrame, x_range: tuple[float, float], y_range: tuple[float, float], x_scale: str = "linear", y_scale: str = "linear") -> DataFrame:
@@ -125,22 +126,23 @@ def extract(images: DataFrame, pixels: DataFrame, texts: DataFrame | None = None
     t["legends"] = kept(L.merge_legends(found), "legends")
     items = L.legend_items(pixels, t["legends"], images)
     t["items"] = kept(L.assign_labels(items, texts) if texts is not None else items.withColumn("label", F.lit(None).cast("string")), "items")
-    t["prototypes"] = L.visual_prototypes(t["items"])
+    t["prototypes"] = kept(L.visual_prototypes(t["items"]), "prototypes")
     t["curves"] = kept(H.prototypes(pixels, plots, t["legends"], coloring), "curves")
     masks = kept(H.prototype_masks(pixels, plots, t["curves"], t["legends"]), "masks")
-    t["masks"], t["mask_pixels"] = H.mask_rows(masks, t["curves"]), masks
+    t["masks"], t["mask_pixels"] = kept(H.mask_rows(masks, t["curves"]), "mask_rows"), masks
     t |= trace(masks, drop_marker_like)
-    t["pieces"] = I.drop_borders(t["pieces"], plots)
-    t["marker_instances"], t["line_instances"] = (kept(d, n) for d, n in zip(group(t["pieces"], t["markers"], t["prototypes"]), ("marked", "lined")))
+    t["pieces"] = kept(I.drop_borders(t["pieces"], plots), "inner")
+    t["marker_instances"], t["line_instances"] = group(t["pieces"], t["markers"], t["prototypes"])
     t["bindings"] = kept(B.scores(t["prototypes"], t["curves"], t["pieces"], t["markers"], t["marker_instances"], t["line_instances"]), "bindings")
-    t["bound_points"], t["bound_paths"] = B.bound_paths(t["prototypes"], t["bindings"], t["points"], t["paths"], t["pieces"], t["marker_instances"], t["line_instances"])
+    bound = B.bound_paths(t["prototypes"], t["bindings"], t["points"], t["paths"], t["pieces"], t["marker_instances"], t["line_instances"])
+    t["bound_points"], t["bound_paths"] = (kept(d, n) for d, n in zip(bound, ("bound_points", "bound_paths")))
     series = None
     if x_range is not None and y_range is not None:
         t["data"] = to_data(t["points"], plots, x_range, y_range, *scales)
         t["bound_data"] = to_data(t["bound_points"], plots, x_range, y_range, *scales)
         series = t["series"] = Q.series(t["data"], ["image_id", "curve_id"])
         t["bound_series"] = Q.series(t["bound_data"], ["image_id", "prototype_id"])
-    t["curve_rows"] = Q.curve_rows(t["curves"], t["masks"], t["paths"], t["points"], series)
+    t["curve_rows"] = kept(Q.curve_rows(t["curves"], t["masks"], t["paths"], t["points"], series), "curve_rows")
     counted = {n: t[n] for n in ("legends", "items", "prototypes", "masks", "paths", "pieces", "markers", "marker_instances", "line_instances", "bindings", "bound_paths")}
     t["report"] = Q.report(t["axes"], counted, t["curve_rows"])
     return out

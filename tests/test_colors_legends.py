@@ -84,6 +84,8 @@ def test_prototypes_and_masks_of_a_chart(spark):
     # the straight gray line looks like a grid line
     assert info[gray.curve_id].pixel_count == 0 and info[gray.curve_id].warnings == ["empty mask"]
     assert H.prototypes(pixels.limit(0), plots).count() == 0
+    pale = spark.createDataFrame([(0, x, 50, 250, 250, 250) for x in range(30, 60)], RGB)
+    assert H.prototypes(pale, plots).count() == 0
 
 
 def test_finer_grays_where_a_legend_tells_them_apart(spark):
