@@ -12,7 +12,7 @@ the 65 values around it and is linked to the smallest one met there; that is exa
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,8 @@ VIEWS = 12
 VIEW_SHINGLES = 3
 SIMILARITY = 0.8
 STAGE_WORDS = 5
+#: The share of a set by which prefixes are lengthened to ask for as many more shared shingles.
+MORE = 0.02
 #: Counters of shingles by hash; they order shingles by rarity, and any order gives the same result.
 COUNTERS = 1 << 16
 
@@ -229,9 +231,8 @@ def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Sc
     """Pairs ``(a, b)`` of keys that hold every similar pair of ``views`` whose ends have different roots in ``found(node, root)``.
 
     Two similar sets share a shingle among the first of both, in any one order of all shingles (prefix
-    filter). Their sizes bound the similarity too, and what is left of both after the first shared shingle. And of
-    the set whose first part ends earlier in that order, all shingles of that part that the other set has lie in the
-    other's first part, so what both parts share and the rest of one set hold everything shared.
+    filter), and k of them among the first of both and k - 1 more; k is 1 and MORE of the smaller set, as far as
+    the prefixes reach. Their sizes bound the similarity too.
     """
     texts = views.join(found, views.key == found.node, "left").select("key", F.xxhash64("key").alias("id"), F.xxhash64(F.coalesce("root", "key")).alias("root"))
     texts = scratch.save(texts, "roots")
@@ -242,48 +243,59 @@ def _unlinked(views: DataFrame, found: DataFrame, similarity: float, scratch: Sc
     rows = rows.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").drop("low", "high")
     rows = scratch.save(rows, "prefixes")
     a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "i")]) for s in "ab")
-    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity) & (left >= needed))
-    pairs = scratch.save(pairs.select("id_a", "id_b", "n_a", "n_b").distinct(), "candidates")
-    # the first parts of both, in whole
-    asked = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    parts = scratch.save(views.select(F.xxhash64("key").alias("id"), "rare").join(asked, "id", "left_semi"), "parts")
-    for s in "ab":
-        pairs = pairs.join(parts.select(F.col("id").alias(f"id_{s}"), F.col("rare").alias(f"rare_{s}")), f"id_{s}")
-    rest = [F.col(n) - F.least(F.col(n), F.floor((1 - similarity) * F.col(n) + 1e-6) + 1) for n in ("n_a", "n_b")]
-    pairs = pairs.where(F.size(F.array_intersect("rare_a", "rare_b")) + F.greatest(*rest) >= needed).select("id_a", "id_b")
+    # so many shingles similar sets share, and so many of the first ones of both, if these parts are that much longer
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    room = [F.least(F.col(n), F.floor((1 - similarity) * F.col(n) + 1e-6) + 1) - F.col(n) + needed for n in ("n_a", "n_b")]
+    more = F.greatest(F.lit(1), F.least(1 + F.floor(MORE * F.least("n_a", "n_b")), *room))
+    early = (F.col("i_a") < F.col("n_a") - needed + more) & (F.col("i_b") < F.col("n_b") - needed + more)
+    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity) & early)
+    pairs = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("both"), F.first(more).alias("more")).where("both >= more").select("id_a", "id_b")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(s)), f"id_{s}")
     out = scratch.save(pairs.select("a", "b"), "unlinked")
-    for table_ in (rows, texts, parts):
+    for table_ in (rows, texts):
         scratch.drop(table_)
     return out
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays share, repeated ones as often as both have them."""
+    u, n = np.unique(x, return_counts=True)
+    v, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _united(found: DataFrame | None, pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Components ``(node, root)`` of ``found`` and of those ``pairs(a, b)`` of keys whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in slices(batches, "text"):
-            held = pa.array([_distinct(x, words).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("key"), held], names=["key", "shingles"])
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            held = [_distinct(x, words) for x in found]
+            short = [np.sort(x.astype(np.uint16)).tobytes() for x in held]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([x.tobytes() for x in held], pa.binary()), pa.array(short, pa.binary())], names=["key", "shingles", "short"])
+
+    def judged(kind: type) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                    x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                    both = _shared(x, y)
+                    keep.append(both >= similarity * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return judge
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # equal texts are united in each task before the shuffle; one text may make up a third of all rows
-    held = keyed.dropDuplicates(["key"]).join(asked, "key", "left_semi").select("key", "text").mapInArrow(sets, "key string, shingles binary")
+    held = keyed.dropDuplicates(["key"]).join(asked, "key", "left_semi").select("key", "text").mapInArrow(sets, "key string, shingles binary, short binary")
     held = scratch.save(held, "shingles")
-    of = lambda name, bytes_: held.select(F.col("key").alias(name), F.col("shingles").alias(bytes_))
-    similar = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a string, b string")
+    of = lambda name, column, as_: held.select(F.col("key").alias(name), F.col(column).alias(as_))
+    # two bytes of each shingle never show less in common than there is, and spare most pairs the whole hashes
+    likely = pairs.join(of("a", "short", "sa"), "a").join(of("b", "short", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judged(np.uint16), "a string, b string")
+    likely = scratch.save(likely, "likely")
+    similar = likely.join(of("a", "shingles", "sa"), "a").join(of("b", "shingles", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(judged(np.uint64), "a string, b string")
     if found is not None:
         similar = similar.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     out = connected_components(similar, scratch)
