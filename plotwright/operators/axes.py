@@ -1,12 +1,14 @@
 """Axis detection over tables of pixels: straight dark runs, the pair of axes, and the plot's box.
 
 Axes are taken to lie along rows and columns of pixels, so lines are found as runs in them, exactly and
-without sampling. All steps are grouped by image and line; an image's own pixels are the most that one
+without sampling; tilted ones, where asked for, as runs along lines of whole degrees. All steps are grouped by image and line; an image's own pixels are the most that one
 group holds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,44 @@ def dark(pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
     return pixels.where(luma <= threshold).select("image_id", "x", "y").distinct()
 
 
+def otsu(gray: DataFrame) -> DataFrame:
+    """``(image_id, threshold)``: the level that parts an image's ``gray(image_id, gray, n)`` counts into two classes of the largest variance between them, the first of equals."""
+    up, every = Window.partitionBy("image_id").orderBy("gray").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("image_id")
+    c = F.col
+    rows = gray.withColumns({"w": F.sum("n").over(up), "s": F.sum(c("n") * c("gray")).over(up), "wt": F.sum("n").over(every), "st": F.sum(c("n") * c("gray")).over(every)})
+    low, high = c("s") / c("w"), (c("st") - c("s")) / (c("wt") - c("w"))
+    rows = rows.withColumn("between", F.when(c("wt") == c("w"), 0.0).otherwise(c("w") * (c("wt") - c("w")) * (low - high) * (low - high)))
+    return rows.groupBy("image_id").agg(F.max_by("gray", F.struct("between", (-c("gray")).alias("first"))).alias("threshold"))
+
+
+def dark_by_channel(images: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``(image_id, x, y)`` of pixels whose least channel is at most its image's Otsu level; pixels that ``images(image_id, width, height)`` has beyond those given are white."""
+    least = pixels.select("image_id", "x", "y", F.least("r", "g", "b").cast("int").alias("gray")).dropDuplicates(["image_id", "x", "y"])
+    counts = least.groupBy("image_id", "gray").agg(F.count("*").alias("n"))
+    white = images.select("image_id", (F.col("width").cast("long") * F.col("height")).alias("all")).join(counts.groupBy("image_id").agg(F.sum("n").alias("given")), "image_id")
+    white = white.select("image_id", F.lit(255).alias("gray"), (F.col("all") - F.col("given")).alias("n")).where("n > 0")
+    counts = counts.unionByName(white).groupBy("image_id", "gray").agg(F.sum("n").alias("n"))
+    return least.join(otsu(counts), "image_id").where("gray <= threshold").select("image_id", "x", "y")
+
+
+def closed(dark: DataFrame) -> DataFrame:
+    """``dark`` grown by one pixel all around and shrunk again: small holes and gaps are filled. Pixels beyond the image don't count as holes, so this may add a pixel beyond none."""
+    around = F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("p")
+    grown = dark.select("image_id", around).select("image_id", "p.x", "p.y").distinct()
+    return grown.select("image_id", around).select("image_id", "p.x", "p.y").groupBy("image_id", "x", "y").agg(F.count("*").alias("n")).where("n = 9").drop("n")
+
+
+def tilted_runs(dark: DataFrame, along: str, across: str, most: int = 4, max_gap: int = 2) -> DataFrame:
+    """``runs`` along lines that rise by up to ``most`` degrees either way, in whole degrees: ``(image_id, angle, pos, lo, hi)`` with the place in the line's middle. A pixel belongs to the two lines beside it, for each angle."""
+    c = F.col
+    slopes = F.explode(F.array(*[F.struct(F.lit(k).alias("angle"), F.lit(math.tan(math.radians(k))).alias("slope")) for k in range(-most, most + 1)])).alias("a")
+    rows = dark.select("image_id", c(along).alias("t"), c(across).alias("v"), slopes).select("image_id", "a.angle", "a.slope", "t", F.explode(F.array(*[F.floor(c("v") - c("a.slope") * c("t")) + d for d in (0, 1)])).alias("line")).distinct()
+    w = Window.partitionBy("image_id", "angle", "line").orderBy("t")
+    rows = rows.withColumn("starts", F.coalesce((c("t") - F.lag("t").over(w) > max_gap).cast("int"), F.lit(1))).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy("image_id", "angle", "slope", "line", "run").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return out.select("image_id", "angle", (c("line") + c("slope") * (c("lo") + c("hi")) / 2).alias("pos"), "lo", "hi")
+
+
 def runs(dark: DataFrame, along: str, across: str, max_gap: int = 2) -> DataFrame:
     """``(image_id, pos, lo, hi)``: runs of dark pixels in each line, steps of up to ``max_gap`` pixels included."""
     line = Window.partitionBy("image_id", across).orderBy(along)
@@ -28,10 +68,13 @@ def runs(dark: DataFrame, along: str, across: str, max_gap: int = 2) -> DataFram
     return rows.groupBy("image_id", F.col(across).alias("pos"), "run").agg(F.min(along).alias("lo"), F.max(along).alias("hi")).drop("run")
 
 
-def axis_candidates(images: DataFrame, dark: DataFrame, along: str, across: str, side: str) -> DataFrame:
-    """``(image_id, pos, lo, hi, length, score)`` of runs that span the least share of their side."""
+def axis_candidates(images: DataFrame, dark: DataFrame, along: str, across: str, side: str, tilt: int = 0) -> DataFrame:
+    """``(image_id, pos, lo, hi, length, score)`` of runs that span the least share of their side; with ``tilt`` also along lines that rise by up to so many degrees."""
     length = F.col("hi") - F.col("lo")
-    rows = runs(dark, along, across).join(images.select("image_id", F.col(side).alias("side")), "image_id")
+    found = runs(dark, along, across)
+    if tilt:
+        found = found.unionByName(tilted_runs(dark, along, across, tilt).where("angle <> 0").select("image_id", F.bround("pos").cast(found.schema["pos"].dataType).alias("pos"), "lo", "hi"))
+    rows = found.join(images.select("image_id", F.col(side).alias("side")), "image_id")
     return rows.select("*", length.alias("length"), F.least(F.lit(1.0), length / F.greatest("side", F.lit(1))).alias("score")).where((F.col("length") > 0) & (F.col("length") >= LEAST * F.col("side"))).drop("side")
 
 
@@ -51,15 +94,17 @@ def refine(axis: DataFrame, dark: DataFrame, along: str, across: str) -> DataFra
     return axis.join(best, "image_id", "left").withColumn("final", F.coalesce("final", "pos"))
 
 
-def detect_axes(images: DataFrame, pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
+def detect_axes(images: DataFrame, pixels: DataFrame, threshold: float = 100.0, by_channel: bool = False, close: bool = False, tilt: int = 0) -> DataFrame:
     """One row for each of ``images(image_id, width, height)``: success, error, the plot's box, the axes' scores and confidence.
 
     Without a pair of axes success is false and the box null. ``pixels(image_id, x, y, r, g, b)`` needs only
-    the dark ones.
+    the dark ones. ``by_channel`` takes the least channel and Otsu's level in place of the threshold, ``close``
+    fills small gaps first, and ``tilt`` allows for lines that rise by up to so many degrees.
     """
-    spots = dark(pixels, threshold)
-    h = refine(select_axis(axis_candidates(images, spots, "x", "y", "width"), True), spots, "x", "y")
-    v = refine(select_axis(axis_candidates(images, spots, "y", "x", "height"), False), spots, "y", "x")
+    spots = dark_by_channel(images, pixels) if by_channel else dark(pixels, threshold)
+    spots = closed(spots) if close else spots
+    h = refine(select_axis(axis_candidates(images, spots, "x", "y", "width", tilt), True), spots, "x", "y")
+    v = refine(select_axis(axis_candidates(images, spots, "y", "x", "height", tilt), False), spots, "y", "x")
     rows = images.select("image_id", "width", "height")
     rows = rows.join(h.select("image_id", F.col("hi").alias("x_max"), F.col("final").alias("y_max"), F.col("score").alias("h_score")), "image_id", "left")
     rows = rows.join(v.select("image_id", F.col("final").alias("x_min"), F.col("lo").alias("y_min"), F.col("score").alias("v_score")), "image_id", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,3 +116,51 @@ def pixels(images: DataFrame) -> DataFrame:
         return F.conv(F.substring("line", at * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     return rows.select("image_id", "x", "y", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """An image ``(height, width, 3)`` of 8-bit colours as the bytes of a PNG file."""
+    h, w, _ = rgb.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.astype(np.uint8).reshape(h, w * 3)], axis=1)
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
+
+
+def pictures(pixels: DataFrame, images: DataFrame, background: int = 255) -> DataFrame:
+    """``(image_id, png binary)`` of ``images(image_id, width, height)`` from ``pixels(image_id, x, y, r, g, b)``; places without a pixel have the background, pixels outside are left out, and an image without any is blank."""
+    kind = images.schema["image_id"].dataType.simpleString()
+    rows = images.select("image_id", "width", "height").join(pixels.select("image_id", "x", "y", "r", "g", "b"), "image_id", "left")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        w, h = int(group["width"].iloc[0]), int(group["height"].iloc[0])
+        out = np.full((h, w, 3), background, np.uint8)
+        given = group.dropna()
+        given = given[(given["x"] >= 0) & (given["y"] >= 0) & (given["x"] < w) & (given["y"] < h)]
+        out[given["y"].astype(int), given["x"].astype(int)] = given[["r", "g", "b"]].to_numpy().astype(np.uint8)
+        return pd.DataFrame({"image_id": [group["image_id"].iloc[0]], "png": [png(out)]})
+
+    return rows.groupBy("image_id").applyInPandas(run, f"image_id {kind}, png binary")
+
+
+def write_pictures(pictures: DataFrame, folder: str) -> None:
+    """Writes each picture as ``<image_id>.png`` into a folder that all tasks reach, through Hadoop's file system where it isn't a local path.
+
+    Names are made safe: what isn't a letter, digit, dot, dash or underscore becomes an underscore.
+    """
+    spark = pictures.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    # a picture at a time: the driver never holds more than one task's
+    for row in pictures.toLocalIterator():
+        name = "".join(ch if ch.isalnum() or ch in ".-_" else "_" for ch in str(row.image_id))
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.png")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(row.png))
+        out.close()
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """Writes one small text file, such as a report."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
