@@ -53,8 +53,95 @@ BLOCKED_WORDS = ("casino", "poker", "viagra", "lottery", "jackpot", "escort", "x
 PLAIN_WORDS = ("www", "blog", "m", "en", "de", "fr", "es", "index", "page", "item", "post", "view")
 
 
+# Single labelled addresses, invented and judged by hand (fixed values): what a reader would want kept, and not.
+ALLOWED_URLS = """
+https://www.cityhall-norwood.example/departments/water/meter-reading.html
+http://physics.lakeside-college.example/courses/optics/lecture-04.pdf
+https://kitchen-notes.example/bread/sourdough-starter-day-three
+http://birdwatchers.example/reports/2019/wetlands/
+https://docs.gridlang.example/manual/en/closures.html
+https://news.harbortimes.example/2021/06/ferry-timetable-changes
+http://www.orchard-museum.example/exhibits/cider-press?lang=en
+https://journal-of-soils.example/volume12/article7/abstract
+https://travel.slowroads.example/norway/by-train/bergen
+https://forum.bikefixers.example/thread/8831/rear-derailleur
+http://villageschool.example/parents/term-dates
+https://recipes.grandmas-table.example/soup/leek-and-potato
+https://weather.highlands.example/forecast/weekend
+https://maps.trailclub.example/routes/ridge-loop.gpx
+http://library.oldtown.example/catalogue/search?author=woolf
+https://blog.quiltmaker.example/patterns/log-cabin
+https://health.county.example/vaccination/opening-hours
+https://opera-archive.example/season/1987/programme
+https://astronomy-evenings.example/meteor-shower-guide
+http://www.railway-society.example/locomotives/class-47
+https://dictionary.example/en/word/serendipity
+https://gardeners-diary.example/april/pruning-roses
+https://code.samplehost.example/projects/parser/issues/212
+https://charity-run.example/results/half-marathon
+http://theatre.example/whats-on/winter-tale
+https://chess-club.example/games/annotated/round-5
+https://economics.institute.example/papers/housing-supply
+https://photos.family-album.example/holiday/lighthouse
+https://lawreports.example/appeal/2004/contracts
+https://museum-of-clocks.example/collection/pendulum
+https://podcast.science-hour.example/episodes/deep-sea
+https://language-exchange.example/meetups/spanish-evening
+https://encyclopedia.example/wiki/Photosynthesis
+http://farmers-market.example/stalls/honey
+https://university-press.example/books/medieval-trade
+https://swimming-pool.example/timetable/lanes
+https://kids-crafts.example/paper/origami-crane
+https://poetry-corner.example/poems/autumn
+https://standards.example/specs/http/caching
+https://observatory.example/data/sunspots.csv
+""".split()
+BLOCKED_URLS = """
+http://freespins-now.example/slots/welcome-bonus-200
+https://hot-singles-tonight.example/chat/register?aff=77
+http://cheap-meds-online.example/buy/no-prescription
+https://win-big-bets.example/sportsbook/odds-boost
+http://cracked-soft.example/download/keygen-full-version.exe
+https://adult-cams.example/live/private-show
+http://quickcash-loans.example/apply/bad-credit-ok
+https://crypto-doubler.example/deposit/bonus-now
+http://xxxvideos-hub.example/category/amateur
+https://replica-watches.example/rolex/discount-90
+http://miracle-diet-pills.example/order/lose-20-pounds
+https://bingo-jackpots.example/play/free-tickets
+http://torrentz-mirror.example/movies/camrip-2020
+https://get-followers-fast.example/buy/instagram-likes
+http://poker-room-vip.example/rakeback/deposit
+https://sexy-dates.example/join-free/age-18
+http://viagra-express.example/checkout/generic
+https://casino-royale-club.example/roulette/no-deposit
+http://essay-cheaters.example/order/cheap-essay
+https://prize-winner.example/claim/iphone-giveaway
+http://nude-gallery.example/pics/teens
+https://fake-id-shop.example/novelty/driver-license
+http://betting-tips-vip.example/fixed-matches
+https://payday-advance.example/instant/approval
+http://warez-zone.example/apps/cracked/serial
+https://slot-machines-online.example/real-money
+http://escort-agency.example/city/girls
+https://forex-robot.example/guaranteed-profit
+http://spin-casino.example/vip-bonus/codes
+https://lottery-syndicate.example/tickets/mega
+http://adultfriend.example/hookup/near-you
+https://steroid-store.example/buy/anabolic
+http://phish-bank-login.example/verify/account-suspended
+https://free-porn.example/video/hd
+http://clickbait-prizes.example/survey/win-voucher
+https://bet365-mirror.example/live/odds
+http://hacked-accounts.example/netflix/free-login
+https://gambling-portal.example/blackjack/strategy-bonus
+http://cheap-cialis.example/pharmacy/online
+https://hotgirls.example/webcam/free
+""".split()
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``(url, label)``, 1 for block: each word of a kind in a host with each word of the kind in a path, over four suffixes, and plain addresses."""
+    """``(url, label)``, 1 for block: each word of a kind in a host with each word of the kind in a path, over four suffixes, plain addresses, and the single ones."""
     suffixes, rows = ("com", "org", "net", "example"), []
     for kind, words in ((0, ALLOWED_WORDS), (1, BLOCKED_WORDS)):
         for i, a in enumerate(words):
@@ -65,6 +152,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     for i, a in enumerate(PLAIN_WORDS):
         for j, b in enumerate(PLAIN_WORDS):
             rows.append((f"http://{a}.site{i * 12 + j}.{suffixes[(i + j) % 4]}/{b}/{i * 997 + j * 101}", 0))
+    rows += [(u, 0) for u in ALLOWED_URLS] + [(u, 1) for u in BLOCKED_URLS]
     return spark.createDataFrame(rows, "url string, label int")
 
 
