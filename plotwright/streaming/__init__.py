@@ -1 +1 @@
-"""Empty on purpose: the engine is batch-only; there is no streaming operator to provide."""
+"""Curves that arrive bit by bit, as Structured Streaming queries."""
