@@ -146,11 +146,10 @@ def to_pixels(points: DataFrame, images: DataFrame) -> DataFrame:
 def _stamped(spots: DataFrame, by: list[str], radius: Column, most: int) -> DataFrame:
     """The distinct pixels within ``radius`` of ``spots(*by, x, y, ...)``; no radius is over ``most``."""
     c = F.col
-    steps = [(i, j) for i in range(-most, most + 1) for j in range(-most, most + 1)]
-    each = F.explode(F.array(*[F.struct((F.bround("x").cast("int") + i).alias("x"), (F.bround("y").cast("int") + j).alias("y")) for i, j in steps])).alias("p")
-    rows = spots.withColumn("r", radius).select(*by, "r", c("x").alias("sx"), c("y").alias("sy"), each)
-    near = F.hypot(c("p.x") - c("sx"), c("p.y") - c("sy")) <= c("r")
-    return rows.where(near).select(*by, "p.x", "p.y").distinct()
+    rows = spots.withColumn("r", radius)
+    for n, d in (("x", "i"), ("y", "j")):
+        rows = rows.withColumn(d, F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn(f"p{n}", F.bround(n).cast("int") + c(d))
+    return rows.where(F.hypot(c("px") - c("x"), c("py") - c("y")) <= c("r")).select(*by, c("px").alias("x"), c("py").alias("y")).distinct()
 
 
 def lines(points: DataFrame, curves: DataFrame, images: DataFrame, mask: bool = False) -> DataFrame:

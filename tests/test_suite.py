@@ -54,3 +54,11 @@ def test_the_gates_of_the_suite(spark):
     for row in (clean, seen):
         assert row.chamfer < 1.25 and row.hausdorff < 8 and row.rmse < 0.03
     assert out["deltas"]["legend_inside_curves"].hausdorff > 100
+
+
+def test_prototypes_of_line_and_marker_curves_are_bound(spark):
+    out = U.bindings(spark, [Y.Chart("line_markers", seed=25, curves=4, line_markers=True, legend_inside=True)])  # limits are in pixels, so the size is the usual one
+    summary, paths = out["summary"].first(), out["paths"].first()
+    assert summary.prototypes == 4 and summary.accuracy == 1.0
+    assert paths.valid == 4 and paths.rmse < 0.08 and paths.x_coverage > 0.9
+    assert out["recall"].first().recall > 0.9 and out["purity"].first().accuracy == 1.0
