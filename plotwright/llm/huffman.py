@@ -244,26 +244,29 @@ class WordEncoder:
         self.cache.add(other, *self.other_ids(other))
 
     def learn(self, words: pa.Array) -> None:
-        """Learns words; those with a full stop or comma after a letter by their two parts."""
+        """Learns distinct unknown words; those with a full stop or comma after a letter by their two parts."""
         tail = pc.match_substring_regex(words, "[A-Za-z][.,]$")
+        self.ask(words.filter(pc.invert(tail)))
         tailed = words.filter(tail)
-        heads = pc.binary_slice(tailed.view(pa.binary()), 0, -1).view(pa.string())
-        new = pc.unique(pa.concat_arrays([words.filter(pc.invert(tail)), heads, pa.array([".", ","])]))
-        self.ask(new.filter(pa.array(self.cache.find(_strings(new)) < 0)))
         if len(tailed):
+            heads = pc.binary_slice(tailed.view(pa.binary()), 0, -1).view(pa.string())
+            new = pc.unique(pa.concat_arrays([heads, pa.array([".", ","])]))
+            self.ask(new.filter(pa.array(self.cache.find(_strings(new)) < 0)))
             whole = _strings(tailed)
             parts = np.stack([self.cache.find(_strings(heads)), self.cache.find([w[-1] for w in whole])], axis=1)
             flat, sizes = self.cache.gather(parts.ravel())
             self.cache.add(whole, flat, sizes.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, and how many each has."""
         if not self.lowers:
-            return [np.array(x, np.int64) for x in self.library_ids(texts)]
+            found = [np.array(x, np.int64) for x in self.library_ids(texts)]
+            return np.concatenate([*found, np.zeros(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
         cache = self.cache
         cache.shrink()
         lowered = pa.array(list(map(self.lowered, texts)), pa.binary())
         split = pc.ascii_split_whitespace(lowered.view(pa.string()))
-        counts = np.diff(split.offsets.to_numpy())
+        ends = np.cumsum(np.diff(split.offsets.to_numpy()))
         words = split.flatten().dictionary_encode()
         every = _strings(words.dictionary)
         used = cache.find(every)
@@ -274,8 +277,12 @@ class WordEncoder:
         used = used[words.indices.to_numpy()]
         cache.use(used)
         flat, sizes = cache.gather(used)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return np.split(flat, ends[np.cumsum(counts)][:-1]) if len(texts) else []
+        upto = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return flat, np.diff(upto, prepend=0)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        flat, sizes = self.flat(texts)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -300,8 +307,14 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
         e = _encoders[path]
         kind = "<u2" if max(e.size, end + 1) <= 65536 else "<u4"
         for part, found in slices(batches, "text"):
-            ids = [np.append(x, end).astype(kind) for x in e.encode(found)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())], names=["doc_id", "ids", "n"])
+            flat, sizes = e.flat(found)
+            ends = np.cumsum(sizes + 1)
+            ids, inner = np.full(int(ends[-1]), end, kind), np.ones(int(ends[-1]), bool)
+            inner[ends - 1] = False
+            ids[inner] = flat
+            offsets = np.concatenate([[0], ends * ids.itemsize])
+            column = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(sizes + 1, pa.int64())], names=["doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n long")
 
