@@ -2,7 +2,8 @@
 
 Axes are taken to lie along rows and columns of pixels, so lines are found as runs in them, exactly and
 without sampling; tilted ones, where asked for, as runs along lines of whole degrees. All steps are grouped by image and line; an image's own pixels are the most that one
-group holds.
+group holds. Pixels are shuffled once for each direction, summed up to runs, and meet their image's axis in windows, so no table of them is joined. What is joined is hinted to merge:
+Spark takes a drawn table for as small as the one that it is drawn from, and would send it whole to the driver and to all tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ LEAST, LONG, REACH = 0.35, 0.65, 8
 
 
 def dark(pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
-    """``(image_id, x, y)`` of pixels whose rounded luma is at most ``threshold``; null channels aren't dark."""
+    """``(image_id, x, y)`` of pixels whose rounded luma is at most ``threshold``, repeated ones as given; null channels aren't dark."""
     luma = F.bround(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))
-    return pixels.where(luma <= threshold).select("image_id", "x", "y").distinct()
+    return pixels.where(luma <= threshold).select("image_id", "x", "y")
 
 
 def otsu(gray: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def dark_by_channel(images: DataFrame, pixels: DataFrame) -> DataFrame:
     white = images.select("image_id", (F.col("width").cast("long") * F.col("height")).alias("all")).join(counts.groupBy("image_id").agg(F.sum("n").alias("given")), "image_id")
     white = white.select("image_id", F.lit(255).alias("gray"), (F.col("all") - F.col("given")).alias("n")).where("n > 0")
     counts = counts.unionByName(white).groupBy("image_id", "gray").agg(F.sum("n").alias("n"))
-    return least.join(otsu(counts), "image_id").where("gray <= threshold").select("image_id", "x", "y")
+    return least.hint("merge").join(otsu(counts), "image_id").where("gray <= threshold").select("image_id", "x", "y")
 
 
 def closed(dark: DataFrame) -> DataFrame:
@@ -60,38 +61,41 @@ def tilted_runs(dark: DataFrame, along: str, across: str, most: int = 4, max_gap
     return out.select("image_id", "angle", (c("line") + c("slope") * (c("lo") + c("hi")) / 2).alias("pos"), "lo", "hi")
 
 
-def runs(dark: DataFrame, along: str, across: str, max_gap: int = 2) -> DataFrame:
-    """``(image_id, pos, lo, hi)``: runs of dark pixels in each line, steps of up to ``max_gap`` pixels included."""
-    line = Window.partitionBy("image_id", across).orderBy(along)
-    starts = F.coalesce((F.col(along) - F.lag(along).over(line) > max_gap).cast("int"), F.lit(1))
-    rows = dark.withColumn("starts", starts).withColumn("run", F.sum("starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("image_id", F.col(across).alias("pos"), "run").agg(F.min(along).alias("lo"), F.max(along).alias("hi")).drop("run")
-
+def _joined(rows: DataFrame, lo: str, hi: str, max_gap: int) -> DataFrame:
+    """``rows(image_id, pos, ...)`` from ``lo`` to ``hi``, none within another, grouped by ``run``: each is in the one before's if at most ``max_gap`` after it."""
+    line = Window.partitionBy("image_id", "pos").orderBy(lo)
+    starts = F.coalesce((F.col(lo) - F.lag(hi).over(line) > max_gap).cast("int"), F.lit(1))
+    return rows.withColumn("starts", starts).withColumn("run", F.sum("starts").over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy("image_id", "pos", "run")
 
-def axis_candidates(images: DataFrame, dark: DataFrame, along: str, across: str, side: str, tilt: int = 0) -> DataFrame:
-    """``(image_id, pos, lo, hi, length, score)`` of runs that span the least share of their side; with ``tilt`` also along lines that rise by up to so many degrees."""
-    length = F.col("hi") - F.col("lo")
-    found = runs(dark, along, across)
-    if tilt:
-        found = found.unionByName(tilted_runs(dark, along, across, tilt).where("angle <> 0").select("image_id", F.bround("pos").cast(found.schema["pos"].dataType).alias("pos"), "lo", "hi"))
-    rows = found.join(images.select("image_id", F.col(side).alias("side")), "image_id")
-    return rows.select("*", length.alias("length"), F.least(F.lit(1.0), length / F.greatest("side", F.lit(1))).alias("score")).where((F.col("length") > 0) & (F.col("length") >= LEAST * F.col("side"))).drop("side")
 
+def runs(dark: DataFrame, along: str, across: str, max_gap: int = 2) -> DataFrame:
+    """``(image_id, pos, lo, hi, strokes)``: runs of dark pixels in each line, steps of up to ``max_gap`` pixels included, and their parts ``(start, end)`` without a gap. Repeated pixels count once."""
+    rows = dark.select("image_id", F.col(across).alias("pos"), along)
+    strokes = _joined(rows, along, along, 1).agg(F.min(along).alias("start"), F.max(along).alias("end")).drop("run")
+    return _joined(strokes, "start", "end", max_gap).agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.collect_list(F.struct("start", "end")).alias("strokes")).drop("run")
 
-def select_axis(candidates: DataFrame, last: bool) -> DataFrame:
-    """One line an image: among those not much shorter than the longest, the lowest (``last``) or leftmost, then the longest, then the first."""
-    image = Window.partitionBy("image_id")
-    order = image.orderBy(F.col("pos").desc() if last else F.col("pos"), F.col("length").desc(), "lo")
-    rows = candidates.withColumn("longest", F.max("length").over(image)).where(F.col("length") >= LONG * F.col("longest"))
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "longest")
 
+def main_axis(images: DataFrame, dark: DataFrame, along: str, across: str, side: str, last: bool, tilt: int = 0) -> DataFrame:
+    """``(image_id, pos, lo, hi, score, final)``: one line an image, of those that span the least share of their side.
 
-def refine(axis: DataFrame, dark: DataFrame, along: str, across: str) -> DataFrame:
-    """``axis`` with ``final``: the line near it with most dark pixels in its extent, the first of equals."""
-    near = dark.join(axis.select("image_id", "pos", "lo", "hi"), "image_id").where((F.abs(F.col(across) - F.col("pos")) <= REACH) & (F.col(along) >= F.col("lo")) & (F.col(along) < F.col("hi")))
-    counted = near.groupBy("image_id", F.col(across).alias("at")).agg(F.count("*").alias("n"))
-    best = counted.groupBy("image_id").agg(F.min_by("at", F.struct((-F.col("n")).alias("n"), "at")).alias("final"))
-    return axis.join(best, "image_id", "left").withColumn("final", F.coalesce("final", "pos"))
+    Among those not much shorter than the longest it is the lowest (``last``) or leftmost, then the longest, then the first.
+    ``final`` is the line near it with most dark pixels in its extent, the first of equals. With ``tilt`` lines also
+    count that rise by up to so many degrees.
+    """
+    c, image = F.col, Window.partitionBy("image_id")
+    rows = runs(dark, along, across)
+    if tilt:
+        rows = rows.unionByName(tilted_runs(dark, along, across, tilt).where("angle <> 0").select("image_id", F.bround("pos").cast(rows.schema["pos"].dataType).alias("pos"), "lo", "hi"), allowMissingColumns=True)
+    # an image's side comes as one more row of it
+    rows = rows.unionByName(images.select("image_id", c(side).alias("side")), allowMissingColumns=True).withColumn("length", c("hi") - c("lo"))
+    rows = rows.withColumns({"side": F.max("side").over(image), "longest": F.max("length").over(image)})
+    fits = (c("length") > 0) & (c("length") >= LEAST * c("side")) & (c("length") >= LONG * c("longest"))
+    rank = F.struct((-c("pos") if last else c("pos")).alias("first"), (-c("length")).alias("second"), c("lo"), c("hi"), c("pos"), F.least(F.lit(1.0), c("length") / F.greatest("side", F.lit(1))).alias("score"))
+    near = rows.withColumn("axis", F.min(F.when(fits, rank)).over(image)).where(F.abs(c("pos") - c("axis.pos")) <= REACH)
+    within = F.aggregate("strokes", F.lit(0).cast("long"), lambda n, s: n + F.greatest(F.lit(0), F.least(s["end"] + 1, c("axis.hi")) - F.greatest(s["start"], c("axis.lo"))))
+    counted = near.groupBy("image_id", "pos").agg(F.sum(within).alias("n"), F.first("axis").alias("axis"))
+    best = F.min(F.when(c("n") > 0, F.struct((-c("n")).alias("n"), c("pos").alias("at"))))
+    return counted.groupBy("image_id").agg(F.first("axis").alias("axis"), best.alias("best")).select("image_id", *[c(f"axis.{k}").alias(k) for k in ("pos", "lo", "hi", "score")], F.coalesce("best.at", "axis.pos").alias("final"))
 
 
 def detect_axes(images: DataFrame, pixels: DataFrame, threshold: float = 100.0, by_channel: bool = False, close: bool = False, tilt: int = 0) -> DataFrame:
@@ -103,11 +107,11 @@ def detect_axes(images: DataFrame, pixels: DataFrame, threshold: float = 100.0,
     """
     spots = dark_by_channel(images, pixels) if by_channel else dark(pixels, threshold)
     spots = closed(spots) if close else spots
-    h = refine(select_axis(axis_candidates(images, spots, "x", "y", "width", tilt), True), spots, "x", "y")
-    v = refine(select_axis(axis_candidates(images, spots, "y", "x", "height", tilt), False), spots, "y", "x")
+    h = main_axis(images, spots, "x", "y", "width", True, tilt)
+    v = main_axis(images, spots, "y", "x", "height", False, tilt)
     rows = images.select("image_id", "width", "height")
-    rows = rows.join(h.select("image_id", F.col("hi").alias("x_max"), F.col("final").alias("y_max"), F.col("score").alias("h_score")), "image_id", "left")
-    rows = rows.join(v.select("image_id", F.col("final").alias("x_min"), F.col("lo").alias("y_min"), F.col("score").alias("v_score")), "image_id", "left")
+    rows = rows.join(h.hint("merge").select("image_id", F.col("hi").alias("x_max"), F.col("final").alias("y_max"), F.col("score").alias("h_score")), "image_id", "left")
+    rows = rows.join(v.hint("merge").select("image_id", F.col("final").alias("x_min"), F.col("lo").alias("y_min"), F.col("score").alias("v_score")), "image_id", "left")
     found = F.col("h_score").isNotNull() & F.col("v_score").isNotNull()
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min")) / F.greatest(F.col("width") * F.col("height"), F.lit(1))
     score = 0.75 * (F.col("h_score") + F.col("v_score")) / 2 + 0.25 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), area))

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key``, so that one task doesn't draw the pixels of all."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -577,7 +582,7 @@ def detect_axes(spark, sf_dir):
 
     ticks = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct((F.col("x0") + 60 * i).alias("x"), (F.col("y1") + 1).alias("y")))
     lines = [row(F.col("y0")), row(F.col("y1")), column(F.col("x0")), column(F.col("x1")), ticks]
-    drawn = box.select("image_id", F.explode(F.concat(*lines)).alias("p")).select("image_id", "p.x", "p.y", *(F.lit(20).alias(c) for c in "rgb"))
+    drawn = dealt(box, "image_id").select("image_id", F.explode(F.concat(*lines)).alias("p")).select("image_id", "p.x", "p.y", *(F.lit(20).alias(c) for c in "rgb"))
     found = A.detect_axes(box.select("image_id", F.lit(400).alias("width"), F.lit(320).alias("height")), drawn)
     return found.select("image_id", "x_min", "y_min", "x_max", "y_max", r6("confidence").alias("confidence"))
 
