@@ -17,7 +17,7 @@ def evaluate_axes(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Errors in pixels of ``found`` (see ``axes.detect_axes``) against ``truth(image_id, x_min, y_min, x_max, y_max)``, one row an image of the truth; null without axes."""
     c = F.col
     t = truth.select("image_id", *[c(b).alias(f"t_{b}") for b in BOX])
-    rows = t.join(found.select("image_id", "success", "error", "confidence", *BOX), "image_id", "left")
+    rows = t.hint("merge").join(found.select("image_id", "success", "error", "confidence", *BOX), "image_id", "left")
     gap = lambda b: F.abs(c(b) - c(f"t_{b}"))
     away = lambda x, y: F.hypot(c(x) - c(f"t_{x}"), c(y) - c(f"t_{y}"))
     ok = F.coalesce("success", F.lit(False))

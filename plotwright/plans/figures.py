@@ -15,7 +15,7 @@ from ..operators import legends as L
 from ..operators import masks as K
 from ..operators import quality as Q
 from ..operators import segments as G
-from .queries import CURVES, POINTS, curves, lab_pixels, points, query, r6, table
+from .queries import CURVES, POINTS, curves, dealt, lab_pixels, points, query, r6, table
 
 _PIECES = f"""{CURVES}, g as (select curve_id, seq // 40 as k, count(*) as n, min(x) / 600 as lo, max(x) / 600 as hi, list(x / 600 order by seq) as xs, list(y order by seq) as ys from c group by curve_id, seq // 40),
   s as (select curve_id, k, n, lo, hi, xs[1] as sx, ys[1] as sy, xs[n] as ex, ys[n] as ey, case when n < 2 then 1.0 else xs[least(6, n)] - xs[1] end as sdx, case when n < 2 then 0.0 else ys[least(6, n)] - ys[1] end as sdy,
@@ -260,7 +260,7 @@ def whole_paths(spark, sf_dir):
 
 def charts(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey") -> tuple[DataFrame, DataFrame]:
     k, c = F.col(key).cast("long"), F.col
-    images = table(spark, sf_dir, name).select(k.alias("image_id"), F.lit(200).alias("width"), F.lit(140).alias("height"))
+    images = dealt(table(spark, sf_dir, name).select(k.alias("image_id"), F.lit(200).alias("width"), F.lit(140).alias("height")), "image_id")
     at = images.select("image_id", F.explode(F.sequence(F.lit(10), F.lit(190))).alias("x"))
     line = lambda y, rgb: at.where("x >= 15 and x <= 185").select("image_id", "x", F.explode(F.array(*[F.bround(y).cast("int") + d for d in (-1, 0, 1)])).alias("y"), *[F.lit(v).alias(n) for n, v in zip("rgb", rgb)])
     axis = at.select("image_id", "x", F.lit(120).alias("y"), *[F.lit(0).alias(n) for n in "rgb"]).unionByName(images.select("image_id", F.lit(10).alias("x"), F.explode(F.sequence(F.lit(8), F.lit(119))).alias("y"), *[F.lit(0).alias(n) for n in "rgb"]))

@@ -10,7 +10,7 @@ from plotwright.operators import axes as A
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["detect_axes"])
+@pytest.mark.parametrize("name", ["detect_axes", "axis_errors"])
 def test_no_drawn_table_is_broadcast(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
